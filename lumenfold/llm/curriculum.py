@@ -56,8 +56,13 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     made = {"size", "source_size", "target", "taken", "position", "repeat_position"}
     own = [c for c in carry if c.lower() not in made and c != source_col]
     order = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")))
-    keyed = docs.select(F.struct(F.lit(0).alias("_"), *[docs[c] for c in own]).alias("_carry"), docs[source_col].alias("_source"), word_count(docs[text_col]).alias("size"), order.alias("_order"), F.md5(F.coalesce(docs[text_col], F.lit(""))).alias("_tie"))
-    keyed = materialize(keyed.withColumn("_bucket", F.pmod(F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"), F.lit(BUCKETS))), "mix-sizes")
+    # long texts are left aside until their places are known
+    wide = text_col in own
+    carried = F.struct(F.lit(0).alias("_"), *[docs[c] for c in own]).alias("_carry")
+    keyed = docs.select(F.monotonically_increasing_id().alias("_uid"), carried, docs[source_col].alias("_source"), word_count(docs[text_col]).alias("size"), order.alias("_order"), F.md5(F.coalesce(docs[text_col], F.lit(""))).alias("_tie"))
+    full = keyed = materialize(keyed.withColumn("_bucket", F.pmod(F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"), F.lit(BUCKETS))), "mix-sizes")
+    if wide:
+        keyed = keyed.drop("_carry")
     bucketed = keyed.groupBy("_source", "_bucket").agg(F.sum("size").alias("_in"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = bucketed.select("_source", "_bucket", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_start"))
@@ -76,5 +81,28 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = placed.withColumn("taken", taken).withColumn("_rounds", rounds)
     out = out.withColumn("position", F.when((F.col("taken") > 0), position(demand(F.lit(0)), F.col("slope"))))
     out = out.withColumn("repeat_position", F.when(F.col("taken") > F.col("size"), position(demand(F.lit(1)), F.col("slope"))))
+    if wide:
+        out = out.join(full.select("_uid", "_carry"), "_uid")
     out = out.select(*[F.col("_carry").getField(c).alias(c) for c in own], F.col("_source").alias(source_col), "size", "source_size", "target", "taken", "position", "repeat_position", "_order")
     return out.orderBy(F.col("position").asc_nulls_last(), "_order").drop("_order")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
+    """The mix itself, with the columns of docs, in training order: a row for each pass over a document.
+
+    Documents that are not taken are left out; one that is taken in part appears with that many of its first words,
+    and a length to match.
+    """
+    columns = docs.columns
+    inner = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(columns)])
+    names = dict(zip(columns, inner.columns, strict=True))
+    mix = curriculum_mix(inner, names[id_col], names[text_col], names[source_col])
+    passes = F.array(F.struct(F.least("taken", "size").alias("words"), F.col("position").alias("at")), F.struct((F.col("taken") - F.col("size")).alias("words"), F.col("repeat_position").alias("at")))
+    rows = mix.where("taken > 0").withColumn("_pass", F.explode(passes)).where("_pass.words > 0")
+    text = F.col(names[text_col])
+    # one document of a source, at most, is cut
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_pass.words").cast("int")), "")
+    whole = F.col("_pass.words") == F.col("size")
+    rows = rows.withColumn("_text", F.when(whole, text).otherwise(cut))
+    final = {text_col: F.col("_text")} | ({length_col: F.when(whole, F.col(names[length_col])).otherwise(F.length("_text")).cast(docs.schema[length_col].dataType)} if length_col in columns else {})
+    return rows.orderBy("_pass.at", F.md5(F.coalesce(F.col(names[id_col]).cast("string"), F.lit("")))).select(*[final.get(c, F.col(names[c])).alias(c) for c in columns])

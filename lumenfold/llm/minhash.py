@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import discard, materialize, ship
 from .components import connected_components
 
 #: A pair at 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 1.3e-7.
@@ -157,7 +157,9 @@ class _Verifier:
         ids = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct()
         sets = materialize(self.docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(self.words), f"id {kind}, set binary"), "sets")
         full = likely.join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
-        return materialize(full.select("u", "v", "x", "y").mapInArrow(_confirm(*self.ratio), f"u {kind}, v {kind}"), "links")
+        links = materialize(full.select("u", "v", "x", "y").mapInArrow(_confirm(*self.ratio), f"u {kind}, v {kind}"), "links")
+        discard(sets), discard(likely)
+        return links
 
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numerator: int = 80, denominator: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -201,3 +203,18 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(extra).unionByName(member.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
     found = connected_components(links)
     return table.select("id", F.col("n").alias("n_shingles")).join(found, table["id"] == found["node"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: that of the smallest id.
+
+    Rows without an id belong to no group and stay. Of rows that repeat an id one stays, that with the smallest text.
+    """
+    found = minhash_components(docs, id_col, text_col, words, numerator, denominator)
+    dropped = found.where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
+    kept = docs.join(dropped, docs[id_col] == dropped["_gone"], "left_anti")
+    repeated = docs.where(docs[id_col].isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    return kept.withColumn("_rank", F.when(F.col(id_col).isNotNull(), rank).otherwise(1)).where("_rank = 1").drop("_rank")

@@ -17,6 +17,25 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, toxicity_scores
+
+    out = toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_tree import main_text
+
+    return main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import graph_neighbours
+
+    return graph_neighbours(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .curriculum import curriculum_mix
 
@@ -24,6 +43,12 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "position", "repeat_position", "source")
 
 
+def op6_count_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .unigram import unigram_token_counts
+
+    return unigram_token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import minhash_components
 
@@ -31,12 +56,25 @@ def op7_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_matches
+
+    return license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .metric_join import cosine_components
+
+    out = cosine_components(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 _WORDS = "[^\\x20\\x09-\\x0D]+"
 
 ORACLE_OP5 = f"""
@@ -104,10 +142,22 @@ SELECT s.doc_id, s.n_shingles, l.component_id, s.doc_id = l.component_id AS kept
 FROM sizes s JOIN least_ l USING (doc_id)
 """
 
-QUERIES = {
-    "op1_histogram_sort": op1_histogram_sort,
-    "op5_curriculum_mix": op5_curriculum_mix,
-    "op7_minhash_components": op7_minhash_components,
-    "op9_residual_packing": op9_residual_packing,
-}
-ORACLES = {"op5_curriculum_mix": ORACLE_OP5, "op7_minhash_components": ORACLE_OP7}
+ORACLE_OP10 = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings
+  UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+least_ AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+degree AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least_ l ON l.u = e.vec_id LEFT JOIN degree d ON d.u = e.vec_id
+"""
+
+QUERIES = {f.__name__: f for f in (op1_histogram_sort, op2_weak_supervision, op3_site_style_tree, op4_pruned_graph, op5_curriculum_mix, op6_count_viterbi, op7_minhash_components, op8_license_windows, op9_residual_packing, op10_metric_join)}
+ORACLES = {"op5_curriculum_mix": ORACLE_OP5, "op7_minhash_components": ORACLE_OP7, "op10_metric_join": ORACLE_OP10}
