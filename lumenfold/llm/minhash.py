@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, build
 from .common import discard, materialize, ship
 from .components import connected_components
 
@@ -111,12 +112,46 @@ def _agree(threshold: float):
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, wanted: Bloom):
+    """The shingle sets of rows whose id may be wanted; of rows that repeat one set, a task's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(words), set()
+        for batch in batches:
+            ids, sets = [], []
+            for i in np.flatnonzero(wanted.test(batch.column(0).to_numpy())):
+                key, text = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                if (key, hash(text)) not in seen:
+                    seen.add((key, hash(text)))
+                    ids.append(key), sets.append(shingler(text).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(1).type), pa.array(sets, pa.binary())], ["id", "set"])
+
+    return run
+
+
+def _shared_keys(shared: Bloom):
+    """(id, n, key) for the keys that another row may have as well."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
         for batch in batches:
-            sets = [shingler(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            for s in range(0, batch.num_rows, 4096):
+                part = batch.slice(s, 4096)
+                keys = part.column(2)
+                flat, rows = keys.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(part.num_rows), keys.value_lengths().to_numpy())
+                hit = shared.test(flat) if len(flat) else np.empty(0, dtype=bool)
+                at = pa.array(rows[hit])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(flat[hit], pa.int64())], ["id", "n", "key"])
+
+    return run
+
+
+def _wanted(wanted: Bloom):
+    """Rows whose first column's hash may be wanted, without that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(wanted.test(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays(kept.columns[1:], batch.schema.names[1:])
 
     return run
 
@@ -144,23 +179,32 @@ def _similar_size(a: Column, b: Column, numerator: int, denominator: int) -> Col
 class _Verifier:
     """Signature check, then the exact one: texts of candidates alone are read and shingled again."""
 
-    def __init__(self, docs: DataFrame, sketches: DataFrame, words: int, numerator: int, denominator: int):
-        self.docs, self.sketches, self.words, self.ratio = docs, sketches, words, (numerator, denominator)
+    def __init__(self, docs: DataFrame, sketches: DataFrame, words: int, numerator: int, denominator: int, repeated: bool):
+        self.docs, self.sketches, self.words, self.ratio, self.repeated = docs, sketches, words, (numerator, denominator), repeated
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         kind = self.docs.schema["id"].dataType.simpleString()
-        s = self.sketches
+        pairs = materialize(pairs.distinct(), "candidates")
+        few = self._asked(pairs)
+        s = materialize(self.sketches.select(F.xxhash64("id").alias("h"), "id", "n", "sketch").mapInArrow(_wanted(few), f"id {kind}, n bigint, sketch binary"), "asked")
         left = s.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
         right = s.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-        joined = pairs.distinct().join(left, "u").join(right, "v").where(_similar_size(F.col("nu"), F.col("nv"), *self.ratio))
+        joined = pairs.join(left, "u").join(right, "v").where(_similar_size(F.col("nu"), F.col("nv"), *self.ratio))
         likely = materialize(joined.select("u", "v", "su", "sv").mapInArrow(_agree(SIGNATURE_LEAST), f"u {kind}, v {kind}"), "likely")
-        ids = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct()
-        sets = materialize(self.docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(self.words), f"id {kind}, set binary"), "sets")
+        few = self._asked(likely)
+        sets = materialize(self.docs.select(F.xxhash64("id").alias("h"), "id", "text").mapInArrow(_sets(self.words, few), f"id {kind}, set binary"), "sets")
+        if self.repeated:
+            sets = sets.groupBy("id", F.xxhash64("set").alias("h")).agg(F.first("set").alias("set"))
         full = likely.join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
-        links = materialize(full.select("u", "v", "x", "y").mapInArrow(_confirm(*self.ratio), f"u {kind}, v {kind}"), "links")
-        discard(sets), discard(likely)
+        links = materialize(full.select("u", "v", "x", "y").mapInArrow(_confirm(*self.ratio), f"u {kind}, v {kind}").distinct(), "links")
+        for t in (pairs, s, likely, sets):
+            discard(t)
         return links
 
+    def _asked(self, pairs: DataFrame) -> Bloom:
+        ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().select(F.xxhash64("id").alias("h"))
+        return build(ids, ids.count())
+
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numerator: int = 80, denominator: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id) for every row of docs: near-duplicate groups by word shingles.
@@ -185,10 +229,12 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = materialize(known.select("id", "print").join(classes, "print").select("id", "rep").distinct(), "classes")
     reps = known.alias("k").join(classes.alias("c"), (F.col("k.print") == F.col("c.print")) & (F.col("k.id") == F.col("c.rep"))).select("k.*").dropDuplicates(["id", "print"])
     sketches = materialize(reps.select("id", "n", "sketch", "keys"), "sketches")
-    banded = sketches.select("id", "n", F.explode("keys").alias("key"))
-    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("first")).where("m > 1").select("key", "first"), "bands")
-    banded = materialize(banded.join(shared, "key"), "banded")
-    verify = _Verifier(docs, sketches.select("id", "n", "sketch"), words, numerator, denominator)
+    shared = sketches.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    shared = materialize(shared.where("first <> last").select("key", "first"), "bands")
+    few = build(shared.select("key"), shared.count())
+    banded = materialize(sketches.select("id", "n", "keys").mapInArrow(_shared_keys(few), f"id {kind}, n bigint, key bigint").join(shared, "key"), "banded")
+    repeated = bool(known.groupBy("id").count().where("count > 1").limit(1).count())
+    verify = _Verifier(docs, sketches.select("id", "n", "sketch"), words, numerator, denominator, repeated)
     links = verify(banded.where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")))
     parts = materialize(connected_components(links), "parts")
 
