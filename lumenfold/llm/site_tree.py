@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, build
 from .common import materialize, ship
 
 TOKEN = re.compile(
@@ -144,19 +145,39 @@ def parse(html: str | None) -> tuple[list[tuple], list[tuple]]:
     return blocks, styles
 
 
+BLOCK = pa.struct([("text", pa.string()), ("print", pa.int64()), ("nodes", pa.list_(pa.int64()))])
+STYLE = pa.struct([("node", pa.int64()), ("children", pa.int64())])
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = pa.struct([("text", pa.string()), ("print", pa.int64()), ("paths", pa.list_(pa.int64())), ("article", pa.bool_()), ("noise", pa.int32())])
-    style = pa.struct([("path", pa.int64()), ("children", pa.int64())])
+    """Pages as blocks and styles. A node is a path of one host. Text is kept where it may be main text: in the article, if there is one."""
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
-            hosts, blocks, styles = [], [], []
-            for url, html in zip(part.column(1), part.column(2), strict=True):
+            blocks, styles = [], []
+            for url, html in zip(part.column(2), part.column(3), strict=True):
                 found, seen = parse(html.as_py())
-                hosts.append(host_of(url.as_py()))
-                blocks.append([(t, xxhash.xxh3_64_intdigest(t) - (1 << 63), p, a, k) for t, p, a, k in found])
-                styles.append(seen)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hosts), pa.array([[dict(zip(("text", "print", "paths", "article", "noise"), b, strict=True)) for b in r] for r in blocks], pa.list_(block)), pa.array([[dict(zip(("path", "children"), x, strict=True)) for x in r] for r in styles], pa.list_(style))], ["uid", "host", "blocks", "styles"])
+                host = xxhash.xxh3_64_intdigest(host_of(url.as_py()))
+                node = lambda path, host=host: _signed(xxhash.xxh3_64_intdigest((path & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), seed=host))
+                candidates = [b for b in found if not b[3]]
+                article = any(b[2] for b in candidates)
+                blocks.append([{"text": t if inside or not article else None, "print": _signed(xxhash.xxh3_64_intdigest(t)), "nodes": [node(x) for x in paths]} for t, paths, inside, _ in candidates])
+                styles.append([{"node": node(path), "children": children} for path, children in seen])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(blocks, pa.list_(BLOCK)), pa.array(styles, pa.list_(STYLE))], ["uid", "id", "url", "blocks", "styles"])
+
+
+def _touched(few: Bloom, inside: bool):
+    """Pages that may lose blocks, or those that can't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(few.test(batch.column(0).to_numpy()) == inside))
+
+    return run
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -173,39 +194,43 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null urls share one host. Repeated page ids are pages by themselves.
     """
     ship(pages.sparkSession)
-    rows = materialize(pages.select(F.monotonically_increasing_id().alias("uid"), pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).select("uid", "id", "url", "html"), "pages")
-    kind = "array<struct<text:string,print:bigint,paths:array<bigint>,article:boolean,noise:int>>"
-    parsed = materialize(rows.select("uid", "url", "html").mapInArrow(_parsed, f"uid bigint, host string, blocks {kind}, styles array<struct<path:bigint,children:bigint>>"), "dom")
-
-    # who has what: a block counts in each branch that it lies in
-    leaf = parsed.select("uid", "host", F.explode("blocks").alias("b")).where("b.noise = 0")
-    leaf = leaf.select("uid", "host", F.col("b.print").alias("print"), F.col("b.paths").alias("paths"))
-    features = leaf.select("host", "uid", "print", F.explode("paths").alias("path")).groupBy("host", "path", "print").agg(F.approx_count_distinct("uid").alias("about"), F.count("*").alias("times"))
-    nodes = parsed.select("uid", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["paths"])))).alias("path"))
-    nodes = nodes.groupBy("host", "path").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    spread = F.least(F.lit(1.0), F.log(F.greatest(F.lit(1), F.least("times", "pages"))) / F.log("pages"))
-    branches = features.join(nodes, ["host", "path"]).withColumn("entropy", spread)
-    content = branches.groupBy("host", "path").agg((1 - F.avg("entropy")).alias("content"))
-    seen = parsed.select("uid", "host", F.explode("styles").alias("s")).groupBy("host", F.col("s.path").alias("path"), F.col("s.children").alias("children")).agg(F.count("*").alias("c"))
-    total = seen.groupBy("host", "path").agg(F.sum("c").alias("t"), F.count("*").alias("styles"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    kind = pages.schema[id_col].dataType.simpleString()
+    raw = pages.select(F.monotonically_increasing_id().alias("uid"), pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
+    schema = f"uid bigint, id {kind}, url string, blocks array<struct<text:string,print:bigint,nodes:array<bigint>>>, styles array<struct<node:bigint,children:bigint>>"
+    parsed = materialize(raw.mapInArrow(_parsed, schema), "dom")
+
+    # on how many pages a node is, and a text within it
+    every = F.flatten(F.transform("blocks", lambda b: F.transform(b["nodes"], lambda n: F.struct(n.alias("node"), b["print"].alias("print")))))
+    features = parsed.select(F.explode(F.array_distinct(every)).alias("f")).groupBy("f.node", "f.print").agg(F.count("*").alias("times"))
+    nodes = parsed.select(F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["nodes"])))).alias("node")).groupBy("node").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    branches = features.join(nodes, "node").withColumn("entropy", F.log("times") / F.log("pages"))
+    branches = branches.groupBy("node").agg((1 - F.avg("entropy")).alias("content"), F.collect_list(F.when((F.col("entropy") >= REPEATED) & (F.col("times") >= LEAST_PAGES), F.col("print"))).alias("repeated"))
+    seen = parsed.select(F.explode("styles").alias("s")).groupBy(F.col("s.node").alias("node"), F.col("s.children").alias("children")).agg(F.count("*").alias("c"))
+    total = seen.groupBy("node").agg(F.sum("c").alias("t"), F.count("*").alias("styles"), F.sum(F.col("c") * F.log("c")).alias("clogc")).where("t > 1")
     # -sum(p log p) with p = c / t is log t - sum(c log c) / t
-    node = total.where("t > 1").select("host", "path", "styles", ((F.log("t") - F.col("clogc") / F.col("t")) / F.log("t")).alias("node"))
+    style = total.select("node", "styles", ((F.log("t") - F.col("clogc") / F.col("t")) / F.log("t")).alias("importance"))
     weight = F.pow(F.lit(0.9), F.coalesce("styles", F.lit(1)))
-    composite = (1 - weight) * F.coalesce("node", F.lit(0.0)) + weight * F.col("content")
-    weak = content.join(node, ["host", "path"], "left").where(composite < LEAST_IMPORTANCE).select("host", "path")
-    repeated = branches.where((F.col("entropy") >= REPEATED) & (F.col("times") >= LEAST_PAGES)).select("host", "path", "print")
-
-    at = parsed.select("uid", "host", F.posexplode("blocks").alias("i", "b")).where("b.noise = 0").select("uid", "host", "i", F.col("b.print").alias("print"), F.explode("b.paths").alias("path"))
-    by_branch = at.join(weak, ["host", "path"], "left_semi").select("uid", "i")
-    own = parsed.select("uid", "host", F.posexplode("blocks").alias("i", "b")).where("b.noise = 0").select("uid", "host", "i", F.col("b.print").alias("print"), F.element_at("b.paths", -1).alias("path"))
-    by_text = own.join(repeated, ["host", "path", "print"], "left_semi").select("uid", "i")
-    removed = by_branch.unionByName(by_text).groupBy("uid").agg(F.collect_set("i").alias("gone"))
-
-    numbered = F.transform("blocks", lambda b, i: F.struct(b["text"].alias("text"), b["article"].alias("article"), b["noise"].alias("noise"), F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i).alias("gone")))
-    page = parsed.join(removed, "uid", "left").select("uid", F.filter(numbered, lambda b: b["noise"] == 0).alias("all"))
-    page = page.select("uid", F.when(F.exists("all", lambda b: b["article"]), F.filter("all", lambda b: b["article"])).otherwise(F.col("all")).alias("all"))
+    composite = (1 - weight) * F.coalesce("importance", F.lit(0.0)) + weight * F.col("content")
+    judged = materialize(branches.join(style, "node", "left").select("node", (composite < LEAST_IMPORTANCE).alias("weak"), "repeated").where("weak or size(repeated) > 0"), "judged")
+    weak, repeated = judged.where("weak").select("node"), judged.select("node", F.explode("repeated").alias("print"))
+
+    at = parsed.select("uid", F.posexplode("blocks").alias("i", "b")).select("uid", "i", F.col("b.print").alias("print"), F.col("b.nodes").alias("nodes"))
+    by_branch = at.select("uid", "i", F.explode("nodes").alias("node")).join(weak, "node", "left_semi").select("uid", "i", F.lit(True).alias("branch"))
+    by_text = at.select("uid", "i", F.element_at("nodes", -1).alias("node"), "print").join(repeated, ["node", "print"], "left_semi").select("uid", "i", F.lit(False).alias("branch"))
+    removed = materialize(by_branch.unionByName(by_text).groupBy("uid").agg(F.collect_set(F.when(F.col("branch"), F.col("i"))).alias("branch"), F.collect_set(F.when(~F.col("branch"), F.col("i"))).alias("same")), "removed")
+
+    # pages that lose nothing aren't shuffled
+    few = build(removed.select("uid"), removed.count())
+    slim = parsed.select("uid", "id", "url", F.transform("blocks", lambda b: b["text"]).alias("texts"))
+    shape = f"uid bigint, id {kind}, url string, texts array<string>"
+    whole = slim.mapInArrow(_touched(few, False), shape).select("id", "url", F.filter("texts", lambda t: t.isNotNull()).alias("final"))
+    part = slim.mapInArrow(_touched(few, True), shape).join(removed, "uid", "left")
+    lost = lambda c: F.coalesce(F.col(c), F.array().cast("array<int>"))
+    marked = F.transform("texts", lambda t, i: F.struct(t.alias("text"), F.array_contains(lost("branch"), i).alias("branch"), F.array_contains(lost("same"), i).alias("same")))
+    part = part.select("id", "url", F.filter(marked, lambda b: b["text"].isNotNull()).alias("all"))
+    part = part.select("id", "url", "all", F.filter("all", lambda b: ~b["branch"]).alias("left"))
+    part = part.select("id", "url", F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("all")).alias("left"))
     length = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + F.length(b["text"]))
-    kept = F.filter("all", lambda b: ~b["gone"])
-    page = page.select("uid", "all", kept.alias("kept")).select("uid", F.when(length(F.col("kept")) * 2 >= length(F.col("all")), F.col("kept")).otherwise(F.col("all")).alias("final"))
-    text = page.select("uid", F.array_join(F.transform("final", lambda b: b["text"]), "\n").alias("text"))
-    return rows.select("uid", "id", "url").join(text, "uid").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    part = part.select("id", "url", "left", F.filter("left", lambda b: ~b["same"]).alias("own"))
+    part = part.select("id", "url", F.transform(F.when(length(F.col("own")) * 2 >= length(F.col("left")), F.col("own")).otherwise(F.col("left")), lambda b: b["text"]).alias("final"))
+    return whole.unionByName(part).select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join("final", "\n").alias("text"))
