@@ -165,7 +165,7 @@ grid_rules("A06_A10_over_dimension", {
     "a_sum": ("sum_over(Gross, Market)", f"sum(gross) OVER ({_ACROSS})"), "a_avg": ("avg_over(Gross, Market)", f"avg(gross) OVER ({_ACROSS})"), "a_min": ("min_over(Gross, Market)", f"min(gross) OVER ({_ACROSS})"),
     "a_max": ("max_over(Gross, Market)", f"max(gross) OVER ({_ACROSS})"), "a_std": ("std_over(Qty, Market)", f"stddev_samp(qty) OVER ({_ACROSS})"), "a_var": ("var_over(Qty, Market)", f"var_samp(qty) OVER ({_ACROSS})"),
     "a_count": ("count_over(Gross, Market)", f"count(gross) OVER ({_ACROSS})"), "a_wavg": ("wavg_over(Price, Market, Qty)", f"sum(price * qty) OVER ({_ACROSS}) / sum(qty) OVER ({_ACROSS})"),
-})
+}, digits=6)
 _SELF = "max(gross) FILTER (scenario = '{}') OVER (PARTITION BY market, month)"
 grid_rules("J04_J06_scenarios", {
     "j_actual": ("actual_ref(Gross)", _SELF.format("N")), "j_fallback": ("actual_ref(Gross, Qty)", f"coalesce({_SELF.format('N')}, qty)"), "j_other": ('scenario_ref(Gross, "R")', _SELF.format("R")),
@@ -322,13 +322,13 @@ _LOWER = "(m + 3.841458820694124::DOUBLE / (2 * n)) / (1 + 3.841458820694124::DO
 @query("A14_A18_grade", f"""WITH {LEAF_SQL}, u AS (SELECT *, {_BAND} AS segment, (disc > 0.05)::INT::DOUBLE AS hit FROM calc),
 g AS (SELECT segment, count(*) AS n, avg(gross) AS mean_gross, sum(revenue) / sum(qty) AS ratio, stddev_samp(gross) AS std_gross, avg(hit) AS m FROM u GROUP BY 1 UNION ALL
       SELECT 'TOTAL', count(*), avg(gross), sum(revenue) / sum(qty), stddev_samp(gross), avg(hit) FROM u)
-SELECT segment, n, round(mean_gross, 2) AS mean_gross, round(ratio, 6) AS ratio, round(std_gross, 2) AS std_gross, round(greatest(0, {_LOWER}), 8) AS low,
+SELECT segment, n, round(mean_gross, 6) AS mean_gross, round(ratio, 6) AS ratio, round(std_gross, 4) AS std_gross, round(greatest(0, {_LOWER}), 8) AS low,
   CASE WHEN segment = 'TOTAL' THEN 'ok' WHEN segment LIKE '(%' THEN 'out_of_range' WHEN n < 3 THEN 'below_min_n' ELSE 'ok' END AS status,
   (segment <> 'TOTAL' AND segment NOT LIKE '(%' AND n >= 3 AND mean_gross > 500000) AS flagged FROM g""")
 def graded(spark, sf_dir):
     rows = sales_cube(spark, sf_dir).evaluate(["Revenue"]).withColumn("hit", (F.col("Disc") > 0.05).cast("double"))
     out = G.grade(rows, {"mean_gross": ("mean", "Gross"), "ratio": ("ratio", "Revenue", "Qty"), "std_gross": ("std", "Gross"), "low": ("wilson_lower", "hit")}, "Qty", [0.0, 100.0, 500.0, 5000.0], min_n=3, flag=F.col("mean_gross") > 500000)
-    return out.select("segment", "n", F.round("mean_gross", 2).alias("mean_gross"), F.round("ratio", 6).alias("ratio"), F.round("std_gross", 2).alias("std_gross"), F.round("low", 8).alias("low"), "status", "flagged")
+    return out.select("segment", "n", F.round("mean_gross", 6).alias("mean_gross"), F.round("ratio", 6).alias("ratio"), F.round("std_gross", 4).alias("std_gross"), F.round("low", 8).alias("low"), "status", "flagged")
 
 
 @query("X01_X02_whatif", f"""WITH {LEAF_SQL}, b AS (SELECT round(sum(revenue), 4) AS r, round(sum(gross), 2) AS g FROM calc WHERE scenario = 'N' AND market = 'NATION_8' AND month = '1998-03'),
@@ -340,20 +340,20 @@ def what_if(spark, sf_dir):
 
 
 @query("X03_X04_sweep", f"""WITH {LEAF_SQL}, p AS (SELECT i::INT AS point, i * 0.02 AS v FROM range(0, 6) r(i))
-SELECT point, round(v::DOUBLE, 6) AS value, round(sum(gross * (1 - v::DOUBLE)), 0) AS metric FROM calc, p WHERE scenario = 'N' GROUP BY ALL""")
+SELECT point, round(v::DOUBLE, 6) AS value, round(sum(gross * (1 - v::DOUBLE)), 5) AS metric FROM calc, p WHERE scenario = 'N' GROUP BY ALL""")
 def swept(spark, sf_dir):
     out = X.sweep(sales_cube(spark, sf_dir), "Disc", X.stepped(0.0, 0.1, 0.02), "Revenue", where=F.col("Scenario") == "N")
-    return out.select("point", F.round("value", 6).alias("value"), F.round("metric", 0).alias("metric"))
+    return out.select("point", F.round("value", 6).alias("value"), F.round("metric", 5).alias("metric"))
 
 
 _BACK = f"""WITH {LEAF_SQL}, g AS (SELECT (a * 3 + b)::INT AS grid, 0.8 + 0.2 * a AS x_Gross, 0.5 + 0.5 * b AS x_Disc FROM range(0, 2) ra(a), range(0, 3) rb(b)),
 r AS (SELECT grid, x_Gross::DOUBLE AS "x_Gross", x_Disc::DOUBLE AS "x_Disc", market AS "Market", count(*) AS n, sum(gross * x_Gross::DOUBLE * (1 - disc * x_Disc::DOUBLE)) AS t FROM calc, g WHERE scenario = 'N' GROUP BY ALL)"""
 
 
-@query("X05_X06_backtest", _BACK + """ SELECT grid, round("x_Gross", 4) AS "x_Gross", round("x_Disc", 4) AS "x_Disc", "Market", n, round(t, 0) AS total FROM r""")
+@query("X05_X06_backtest", _BACK + """ SELECT grid, round("x_Gross", 4) AS "x_Gross", round("x_Disc", 4) AS "x_Disc", "Market", n, round(t, 5) AS total FROM r""")
 def back_test(spark, sf_dir):
     out = X.backtest(sales_cube(spark, sf_dir), {"Gross": [0.8, 1.0], "Disc": [0.5, 1.0, 1.5]}, {"total": ("sum", "Revenue")}, "Market", where=F.col("Scenario") == "N")
-    return out.select("grid", F.round("x_Gross", 4).alias("x_Gross"), F.round("x_Disc", 4).alias("x_Disc"), "Market", "n", F.round("total", 0).alias("total"))
+    return out.select("grid", F.round("x_Gross", 4).alias("x_Gross"), F.round("x_Disc", 4).alias("x_Disc"), "Market", "n", F.round("total", 5).alias("total"))
 
 
 @query("O04_best_point", _BACK + """ SELECT "Market", grid FROM (SELECT *, row_number() OVER (PARTITION BY "Market" ORDER BY t DESC, grid) AS k FROM r) WHERE k = 1""")
@@ -375,15 +375,15 @@ MONTHLY_SQL = "mon AS (SELECT o_orderpriority AS k, strftime(o_orderdate, '%Y-%m
 
 @query("A19_benchmark_library", f"""WITH {MONTHLY_SQL}, l AS (SELECT k, list_sort(list(value)) AS v, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM mon GROUP BY k)
 SELECT k, v[floor(0.10::DOUBLE * (n - 1) + 0.5)::INT + 1] AS p10, v[floor(0.25 * (n - 1) + 0.5)::INT + 1] AS p25, v[floor(0.5 * (n - 1) + 0.5)::INT + 1] AS p50, v[floor(0.75 * (n - 1) + 0.5)::INT + 1] AS p75,
-v[floor(0.9::DOUBLE * (n - 1) + 0.5)::INT + 1] AS p90, round(mean, 2) AS mean, round(sd, 2) AS stddev, n FROM l""")
+v[floor(0.9::DOUBLE * (n - 1) + 0.5)::INT + 1] AS p90, round(mean, 6) AS mean, round(sd, 4) AS stddev, n FROM l""")
 def library(spark, sf_dir):
-    return H.benchmark_library(monthly(spark, sf_dir), ["k"]).withColumn("mean", F.round("mean", 2)).withColumn("stddev", F.round("stddev", 2))
+    return H.benchmark_library(monthly(spark, sf_dir), ["k"]).withColumn("mean", F.round("mean", 6)).withColumn("stddev", F.round("stddev", 4))
 
 
 @query("A20_W14_period_context", f"""WITH {MONTHLY_SQL} SELECT k, arg_max(value, period) AS current, arg_max(value, period) FILTER (period < (SELECT max(period) FROM mon m WHERE m.k = mon.k)) AS prev, arg_min(value, period) AS first, arg_max(value, period) AS last,
-min(value) AS min, max(value) AS max, round(sum(value), 2) AS sum, round(avg(value), 2) AS campaign_avg, arg_min(period, value) AS worst_period, arg_max(period, value) AS best_period, count(*) AS periods FROM mon GROUP BY k""")
+min(value) AS min, max(value) AS max, round(sum(value), 2) AS sum, round(avg(value), 6) AS campaign_avg, arg_min(period, value) AS worst_period, arg_max(period, value) AS best_period, count(*) AS periods FROM mon GROUP BY k""")
 def context(spark, sf_dir):
-    return H.period_context(monthly(spark, sf_dir), ["k"], "period", "value").withColumn("sum", F.round("sum", 2)).withColumn("campaign_avg", F.round("campaign_avg", 2))
+    return H.period_context(monthly(spark, sf_dir), ["k"], "period", "value").withColumn("sum", F.round("sum", 2)).withColumn("campaign_avg", F.round("campaign_avg", 6))
 
 
 _TRENDS = f"""WITH {MONTHLY_SQL}, d AS (SELECT *, value - lag(value) OVER w AS d, row_number() OVER w AS t FROM mon WINDOW w AS (PARTITION BY k ORDER BY period)),
