@@ -19,11 +19,13 @@ def latest(rows: DataFrame, keys: Iterable[str], order: Column) -> DataFrame:
 
 
 def benchmark_library(rows: DataFrame, keys: Iterable[str], value: str = "value") -> DataFrame:
-    """p10 to p90 at index round(p * (n - 1)) of the sorted values, mean, population deviation and number."""
-    ordered = F.array_sort(F.collect_list(value))
-    n = F.count(value)
-    at = lambda p: F.element_at(ordered, (F.floor(F.lit(p) * (n - 1) + 0.5) + 1).cast("int"))
-    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(*[at(p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)], F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"), n.alias("n"))
+    """p10 to p90 at index round(p * (n - 1)) of the sorted values, mean, population deviation and number. Ranks come from a sort, not from lists."""
+    keys = list(keys)
+    have = rows.where(F.col(value).isNotNull())
+    n = F.count("*").over(Window.partitionBy(*keys))
+    ranked = have.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).withColumn("_n", n)
+    at = lambda p: F.max(F.when(F.col("_r") == F.floor(F.lit(p) * (F.col("_n") - 1) + 0.5) + 1, F.col(value)))
+    return ranked.groupBy(*keys).agg(*[at(p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)], F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"), F.count("*").alias("n"))
 
 
 def period_context(rows: DataFrame, keys: Iterable[str], period: str, value: str) -> DataFrame:
