@@ -71,8 +71,8 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of its shortest, so some window holds all of any passage as long as the template. Windows and templates meet where a band
     of one minimum agrees. At the least similarity that a window with 0.8 of a template has, about 0.45, 24 bands miss
     it with a probability under 1e-6; a whole copy is missed still more seldom. Shingles of the window and a quarter more are then
-    intersected with the template's. Texts without any template's shingle have no window to retrieve, which a set
-    lookup finds first. first_word is the window's place, in words from 0; of equal containments the first.
+    intersected with the template's. A window without any template's shingle can't agree with one, which a set lookup finds first, so minima are
+    taken of the others alone. first_word is the window's place, in words from 0; of equal containments the first.
     Null, empty and short texts match nothing. Templates of fewer than five words are not accepted. Repeated rows give
     repeated results for their ids merged to one; a null id is kept as one group.
     """
@@ -91,16 +91,17 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound = table.withColumn("low", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(bands - 1)).alias("band"), _minima(F.col("wanted"), bands).alias("value")))).select("license", "class", F.col("low.band").alias("band"), F.col("low.value").alias("value"))
 
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    # a generator keeps the filter from being pushed below, where it would hash everything once more
+    # generators keep later projections and filters from being merged with the hashing, which would repeat it
     hashed = texts.select("id", F.explode(F.array(shingles_of(words_of(F.col("text"))))).alias("h"))
-    some = lambda a: F.exists(a, lambda x: x.isin(every))
-    hashed = hashed.where(some(F.col("h")))
+    places = F.filter(F.transform("h", lambda x, i: F.when(x.isin(every), i)), lambda i: i.isNotNull())
+    hashed = hashed.select("id", "h", F.explode(F.array(places)).alias("hits")).where(F.size("hits") > 0)
     steps = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(length).alias("length"), F.lit(step).alias("step")) for c, (length, step) in sorted(shapes.items())])
-    framed = hashed.select("id", "h", F.explode(steps).alias("w")).select("id", "h", "w.*")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("h") - F.col("length") + F.col("step")), F.col("step"))
-    # a window is looked at where one of its shingles is a template's
-    windows = framed.select("id", "class", "length", "h", F.explode(starts).alias("start"))
-    windows = windows.select("id", "class", "start", F.explode(F.array(F.slice("h", F.col("start"), F.col("length")))).alias("part"), F.slice("h", F.col("start"), F.ceil(F.col("length") * 1.25).cast("int")).alias("wide")).where(some(F.col("part")))
+    framed = hashed.select("id", "h", "hits", F.explode(steps).alias("w")).select("id", "h", "hits", "w.*")
+    # windows begin at multiples of the step; those that hold a template's shingle are looked at
+    first = lambda i: F.greatest(F.lit(0), F.ceil((i - F.col("length") + 1) / F.col("step")).cast("int"))
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.sequence(first(i), F.floor(i / F.col("step")).cast("int")))))
+    cut = F.transform(starts, lambda k: F.struct((k * F.col("step") + 1).alias("start"), F.slice("h", k * F.col("step") + 1, F.col("length")).alias("part"), F.slice("h", k * F.col("step") + 1, F.ceil(F.col("length") * 1.25).cast("int")).alias("wide")))
+    windows = framed.select("id", "class", F.explode(cut).alias("x")).select("id", "class", "x.*")
     keyed = windows.select("id", "class", "start", "wide", F.posexplode(_minima(F.col("part"), bands)).alias("band", "value"))
     candidates = keyed.join(F.broadcast(bound), ["class", "band", "value"]).groupBy("id", "class", "start", "license").agg(F.first("wide").alias("wide"))
     checked = candidates.join(F.broadcast(table.select("license", "wanted")), "license")
