@@ -177,7 +177,7 @@ def pack_items(items: DataFrame, limit: int = TOKENS, nearly: int = NEARLY) -> D
         open_ = packed.where(F.col("fill") < nearly).select(F.col("bin").alias("item"), F.col("fill").alias("length")).distinct()
         before, left = left, open_.count()
         tasks = -(-left // LOCAL_ITEMS)
-        if level and (packed.rdd.getNumPartitions() == 1 or (before is not None and left > 0.9 * before and tasks > 1)) or left < 2 or level == 30:
+        if level and (packed.rdd.getNumPartitions() == 1 or (before is not None and left > 0.9 * before and tasks > 1)) or left < 2 or level == 14:
             break
         todo, level = open_.repartition(max(1, tasks), F.xxhash64("item")).sortWithinPartitions("item"), level + 1
         if tasks <= 1:
