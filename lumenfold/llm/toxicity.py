@@ -83,7 +83,7 @@ def induce_terms(sample: DataFrame) -> list[str]:
     prior = min(0.5, max(1e-3, share[0] or 1e-3))
     size = counted.count()
     least = max(3, int(np.ceil(np.log(max(size, 2)) / -np.log(prior))) - 3)
-    rows = counted.where((F.col("toxic") >= least) & (F.col("toxic") >= 30 * F.col("clean"))).orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    rows = counted.where((F.col("toxic") >= least) & (F.col("toxic") >= 100 * F.col("clean"))).orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
     terms = [r["term"] for r in rows]
     if not terms:
         return []
@@ -138,10 +138,15 @@ class LabelModel:
         return cls(prior, toxic, clean, 1 / (1 + np.clip(beyond, 0, 1).sum(axis=1)))
 
     def posterior(self, votes: np.ndarray, silent: float) -> np.ndarray:
-        """A voter without evidence abstains; `silent` is the share of toxic texts where all do."""
-        yes = np.log(self.given_toxic / self.given_clean) * self.share
-        odds = np.log(silent / (1 - silent)) + votes @ yes
-        return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        """A voter without evidence abstains; where all do, the answer is `silent`, the share of toxic texts among such.
+
+        Of a text's votes the strongest counts in full, the others as far as they are independent.
+        """
+        yes = np.log(self.given_toxic / self.given_clean)
+        full = (votes * yes).max(axis=1, initial=0.0)
+        shared = votes @ (yes * self.share) - (votes * yes * self.share).max(axis=1, initial=0.0)
+        odds = np.log(self.prior / (1 - self.prior)) + full + shared
+        return np.where(votes.any(axis=1), 1 / (1 + np.exp(-np.clip(odds, -40, 40))), silent)
 
 
 def voters_of(terms: list[str], voters: int) -> list[int]:
@@ -179,13 +184,15 @@ def features(terms: list, counts: list, n_terms: int) -> np.ndarray:
     return x
 
 
-def train_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 400) -> np.ndarray:
-    """Logistic regression on soft labels, by Nesterov's gradient steps."""
+def train_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 2000) -> np.ndarray:
+    """Logistic regression on soft labels of weighted rows, by Nesterov's gradient steps."""
+    x = x.astype(np.float64)
+    weight = weight / weight.sum()
     w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    rate = 4.0 / max(1e-9, float((x * x).sum(axis=1).mean()))
+    rate = 4.0 / max(1e-9, float(weight @ (x * x).sum(axis=1)))
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -40, 40)))
-        new = v - rate * (x.T @ (p - y) / len(y) + ridge * 1e-2 * np.r_[0, v[1:]])
+        new = v - rate * (x.T @ (weight * (p - y)) + ridge * np.r_[0, v[1:]])
         v, w = new + (k / (k + 3)) * (new - w), new
     return w
 
@@ -246,7 +253,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     model = LabelModel.fit(n, both.diagonal().copy(), both, float(np.clip(toxic.mean(), 1e-3, 0.5)), (votes[toxic == 0].sum(axis=0) + 0.5) / ((toxic == 0).sum() + 1))
     none = votes.sum(axis=1) == 0
     soft = model.posterior(votes, float(np.clip((toxic[none].sum() + 0.5) / (none.sum() + 1), 1e-4, 0.3)))
-    return ToxicityModel(terms, train_linear(features(t, c, len(terms)), soft)), hits
+    # texts without evidence are all alike to the classifier: one row, which weighs as much as the others together
+    some = np.flatnonzero(~none)
+    x = features([t[i] for i in some] + [[]], [c[i] for i in some] + [[]], len(terms))
+    rest = float(soft[none].mean()) if none.any() else 0.0
+    return ToxicityModel(terms, train_linear(x, np.r_[soft[some], rest], np.r_[np.ones(len(some)), max(1, len(some))])), hits
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, training: Column | None = None) -> DataFrame:
