@@ -50,9 +50,24 @@ class CountViterbi:
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.single = {p for p in pieces if len(p) == 1}
 
+    def known(self, word: str, n: int) -> int:
+        """Tokens of a word whose characters are all pieces: every position is reached. The automaton gives the longest match first."""
+        best, count = [float("-inf")] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for at, (length, score) in self.automaton.iter(word):
+            at += 1
+            start = at - length
+            s = best[start] + score
+            if s > best[at]:
+                best[at] = s
+                count[at] = count[start] + 1
+        return count[n]
+
     def __call__(self, word: str) -> tuple[int, int]:
         """(tokens, unknown characters)"""
         n = len(word)
+        if self.single.issuperset(word):
+            return self.known(word, n), 0
         best = [float("-inf")] * (n + 1)
         best[0] = 0.0
         # tokens so far, unknown characters so far, whether the last one is unknown
