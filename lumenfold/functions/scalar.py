@@ -114,13 +114,27 @@ def euclid(a: Column, b: Column) -> Column:
     return F.when(F.abs(b) >= TINY, finite(F.pmod(a, F.abs(F.when(F.abs(b) >= TINY, b)))))
 
 
+def _polynomial(x: Column, *highest_first: float) -> Column:
+    out = F.lit(highest_first[0])
+    for c in highest_first[1:]:
+        out = F.lit(c) + x * out
+    return out
+
+
+#: Published approximations' coefficients, of the highest power first.
+TAIL = (1.330274, -1.8212560, 1.781478, -0.3565638, 0.3193815)
+CENTER_UP = (-25.44106049637, 41.39119773534, -18.61500062529, 2.50662823884)
+CENTER_DOWN = (3.13082909833, -21.06224101826, 23.08336743743, -8.47351093090, 1.0)
+FAR_OUT = (3.960315187e-7, 2.888167364e-7, 3.21767881768e-5, 3.951896511919e-4, 3.8405729373609e-3, 2.76438810333863e-2, 0.1607979714918209, 0.9761690190917186, 0.3374754822726147)
+
+
 def norm_cdf(x: Column, mu: Column, sigma: Column) -> Column:
     """Abramowitz and Stegun 26.2.17, with the coefficients that published results were made with."""
     z = (x - mu) / F.when(sigma > 0, sigma)
     t = 1.0 / (1.0 + 0.2316419 * F.abs(z))
     density = 0.3989422804014327 * F.exp(-z * z / 2.0)
-    tail = density * t * (0.3193815 + t * (-0.3565638 + t * (1.781478 + t * (-1.8212560 + t * 1.330274))))
-    return finite(F.when(z > 0, 1.0 - tail).otherwise(tail))
+    beyond = density * t * _polynomial(t, *TAIL)
+    return finite(F.when(z > 0, 1.0 - beyond).otherwise(beyond))
 
 
 def norm_inv(p: Column, mu: Column, sigma: Column) -> Column:
@@ -128,13 +142,8 @@ def norm_inv(p: Column, mu: Column, sigma: Column) -> Column:
     p = F.when((p > 0) & (p < 1), p)
     y = p - 0.5
     r = y * y
-    a, b = (2.50662823884, -18.61500062529, 41.39119773534, -25.44106049637), (-8.47351093090, 23.08336743743, -21.06224101826, 3.13082909833)
-    central = y * (((a[3] * r + a[2]) * r + a[1]) * r + a[0]) / ((((b[3] * r + b[2]) * r + b[1]) * r + b[0]) * r + 1.0)
-    c = (0.3374754822726147, 0.9761690190917186, 0.1607979714918209, 0.0276438810333863, 0.0038405729373609, 0.0003951896511919, 0.0000321767881768, 0.0000002888167364, 0.0000003960315187)
-    s = F.ln(-F.ln(F.when(y > 0, 1.0 - p).otherwise(p)))
-    series = F.lit(c[8])
-    for k in reversed(c[:8]):
-        series = k + s * series
+    central = y * _polynomial(r, *CENTER_UP) / _polynomial(r, *CENTER_DOWN)
+    series = _polynomial(F.ln(-F.ln(F.when(y > 0, 1.0 - p).otherwise(p))), *FAR_OUT)
     unit = F.when(F.abs(y) < 0.42, central).otherwise(F.when(y < 0, -series).otherwise(series))
     return finite(F.when(sigma > 0, mu + sigma * unit))
 
