@@ -236,3 +236,18 @@ def closure_sql(spark: SparkSession, edges: DataFrame) -> DataFrame:
         UNION ALL
         SELECT DISTINCT child, child, 1.0D FROM _lumenfold_edges WHERE child NOT IN (SELECT parent FROM _lumenfold_edges)
     """)
+
+
+def golden_results(cube: Cube) -> list[dict]:
+    """The model's golden tests: each named cell, what it should be and is, and whether that is exact or within its tolerance."""
+    out = []
+    for g in cube.model.goldens:
+        near = g.get("expect_within_epsilon")
+        expected = near["value"] if near else g.get("expect")
+        value = cube.read(g["coord"]).first()["value"]
+        if value is None or expected is None:
+            ok = value is None and expected is None
+        else:
+            ok = abs(value - expected) <= (near["epsilon"] if near else 0.0)
+        out.append({"name": g["name"], "expected": expected, "value": value, "passed": ok})
+    return out

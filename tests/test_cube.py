@@ -134,3 +134,17 @@ def test_validation():
     tree = {"dimensions": [{"name": "Time", "elements": [{"name": "t"}]}], "measures": [{"name": "x"}, {"name": "y", "role": "Derived"}], "rules": [{"target_measure": "y", "body": {"Add": [{"measure_ref": "x"}, {"const": 2}]}}], "status_thresholds": [{"name": "b", "bands": [{"max": 1}, {"max": 0}, {}]}]}
     loaded = from_tree(tree)
     assert loaded.rules[0].body == "(x + 2.0)" and [c for c, _ in validate(loaded)] == ["MC2041"]
+
+
+def test_goldens_and_sinks(spark, cube, tmp_path):
+    from lumenfold.operators.cube import golden_results
+    from lumenfold.sources import sinks
+
+    cube.model.goldens = [{"name": "a", "coord": {**AT, "Measure": "Spend"}, "expect": 11500.0}, {"name": "b", "coord": {**AT, "Measure": "Revenue"}, "expect_within_epsilon": {"value": 3066.6666666666674, "epsilon": 1e-9}}, {"name": "c", "coord": {**AT, "Measure": "CPC"}, "expect": 2.0}]
+    assert [g["passed"] for g in golden_results(cube)] == [True, True, False]
+    rows = spark.createDataFrame([("a,b", 1), ("c", None)], "k string, v int").coalesce(1)
+    assert sinks.render(rows, "csv") == 'k,v\n"a,b",1\nc,\n'
+    assert sinks.render(rows, "text").splitlines()[1] == "a,b  1"
+    assert '"next_offset": 1' in sinks.render(rows, "json", 1)
+    sinks.write(rows, str(tmp_path / "o"), "json")
+    assert spark.read.json(str(tmp_path / "o")).count() == 2
