@@ -42,7 +42,7 @@ def position(demand: Column, slope: Column) -> Column:
     return F.lit(2.0) * demand / (b + root)
 
 
-def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
+def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: list[str] | None = None, ordered: bool = True) -> DataFrame:
     """One row per document, with what the mix takes of it and when.
 
     Adds size (words), source_size, target, taken (words, repeats counted), position (training time, 0 to 1, of
@@ -50,7 +50,8 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     times its size goes round floor(e) times whole, and then as far as the rest reaches in an order by MD5 of the
     id; the last document reached is cut, so that a source's taken words are its target rounded down.
     No document is taken more than twice. Null source: a source of its own, sorted last. Null text: size 0.
-    The result is range-sorted by position, nothing taken last; rows with equal keys may come in any order.
+    The result is range-sorted by position, nothing taken last, unless the caller sorts it (ordered=False); rows with
+    equal keys may come in any order.
     """
     carry = docs.columns if carry is None else carry
     made = {"size", "source_size", "target", "taken", "position", "repeat_position"}
@@ -84,7 +85,7 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if wide:
         out = out.join(full.select("_uid", "_carry"), "_uid")
     out = out.select(*[F.col("_carry").getField(c).alias(c) for c in own], F.col("_source").alias(source_col), "size", "source_size", "target", "taken", "position", "repeat_position", "_order")
-    return out.orderBy(F.col("position").asc_nulls_last(), "_order").drop("_order")
+    return (out.orderBy(F.col("position").asc_nulls_last(), "_order") if ordered else out).drop("_order")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
@@ -96,7 +97,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns = docs.columns
     inner = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(columns)])
     names = dict(zip(columns, inner.columns, strict=True))
-    mix = curriculum_mix(inner, names[id_col], names[text_col], names[source_col])
+    mix = curriculum_mix(inner, names[id_col], names[text_col], names[source_col], ordered=False)
     passes = F.array(F.struct(F.least("taken", "size").alias("words"), F.col("position").alias("at")), F.struct((F.col("taken") - F.col("size")).alias("words"), F.col("repeat_position").alias("at")))
     rows = mix.where("taken > 0").withColumn("_pass", F.explode(passes)).where("_pass.words > 0")
     text = F.col(names[text_col])
