@@ -19,7 +19,7 @@ from .components import connected_components
 BANDS, ROWS = 40, 5
 #: Share of agreeing minima below which a candidate is dropped; at a similarity of 0.8 that is 7 deviations away.
 SIGNATURE_LEAST = 0.6
-_WORDS = 400_000  # entries of a task's cache of word hashes
+_WORDS = 120_000  # entries of a task's cache of word hashes
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -60,7 +60,7 @@ def _hits(terms: list[str]):
                 for w in words:
                     at = cache.get(w)
                     if at is None:
-                        if len(cache) > 500_000:
+                        if len(cache) > 120_000:
                             cache.clear()
                         at = cache[w] = tuple(known[t] for t in terms_of(w) if t in known)
                     if at:
