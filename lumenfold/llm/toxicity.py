@@ -35,13 +35,18 @@ def terms_of(word: str) -> Iterator[str]:
 
 
 def _term_counts():
+    """Of batches (text, toxic, copies): on how many clean and toxic texts a term is, and on how many toxic rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        counts: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                counts[toxic.as_py()].update({t for w in set(WORDS.findall((text.as_py() or "").lower())) for t in terms_of(w)})
+            for text, toxic, copies in zip(*batch.columns, strict=True):
+                found = {t for w in set(WORDS.findall((text.as_py() or "").lower())) for t in terms_of(w)}
+                counts[toxic.as_py()].update(found)
+                if toxic.as_py() and copies.as_py() > 1:
+                    counts[2].update(dict.fromkeys(found, copies.as_py() - 1))
         terms = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in counts]], ["term", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in counts]], ["term", "clean", "toxic", "repeats"])
 
     return run
 
@@ -75,33 +80,48 @@ def _hits(terms: list[str]):
 def induce_terms(sample: DataFrame) -> list[str]:
     """Words and beginnings that toxic texts have and clean ones hardly, best first.
 
-    sample: (id, text, toxic) rows, at most SAMPLE. A term needs more toxic texts than chance would give some term
-    of the vocabulary. Terms that nearly always occur together with several others are passages of copies, no lexicon.
+    sample: (id, text, toxic) rows, at most SAMPLE. Equal texts count once, so a group of copies has one text's say; it
+    is toxic if most of its rows are. A term needs more toxic texts than chance would give some term of the vocabulary.
+    Terms that nearly always occur together with several others are a passage of near copies, unless the texts that
+    have them without half of the passage suffice. A text with enough toxic rows, but none of these terms, adds its best one.
     """
-    counted = sample.select("text", "toxic").mapInArrow(_term_counts(), "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    share = sample.agg(F.avg("toxic"), F.count("*")).first()
+    texts = materialize(sample.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), F.count("*").alias("copies")), "texts")
+    counted = materialize(texts.select("text", "toxic", "copies").mapInArrow(_term_counts(), "term string, clean bigint, toxic bigint, repeats bigint").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "repeats")]), "terms")
+    share = texts.agg(F.avg("toxic")).first()
     prior = min(0.5, max(1e-3, share[0] or 1e-3))
     size = counted.count()
     least = max(3, int(np.ceil(np.log(max(size, 2)) / -np.log(prior))) - 3)
-    rows = counted.where((F.col("toxic") >= least) & (F.col("toxic") >= 100 * F.col("clean"))).orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    evident = lambda toxic, clean: toxic >= least and toxic >= 100 * clean
+    found = counted.where(F.col("toxic") + F.col("repeats") >= least).where(F.col("toxic") + F.col("repeats") > F.col("clean")).orderBy(F.desc("toxic"), F.desc("repeats"), "term").collect()
+    # a term that only rows of copies speak for is there for texts which have no other
+    rows = [r for r in found if evident(r["toxic"] + r["repeats"], r["clean"])]
     terms = [r["term"] for r in rows]
     if not terms:
         return []
-    seen: dict[int, set] = {}
-    for n, r in enumerate(sample.where("toxic = 1").select("id", "text").mapInArrow(_hits(terms), "id bigint, terms array<int>, counts array<int>, n_words bigint").select("terms").toLocalIterator()):
-        for t in r["terms"]:
-            seen.setdefault(t, set()).add(n)
-    roots = {}
-    for i, t in enumerate(terms):
-        roots.setdefault(t[:4], []).append(i)
-    kin = [{*roots[t[:4]]} for t in terms]
-    keep = []
-    for i, t in enumerate(terms):
-        mine = seen.get(i, set())
-        together = sum(1 for j, other in seen.items() if j not in kin[i] and len(mine & other) > 0.6 * len(mine | other))
-        if together < 4:
-            keep.append(t)
-    return keep
+    toxic = texts.where("toxic = 1").select(F.col("copies").alias("id"), "text").mapInArrow(_hits(terms), "id bigint, terms array<int>, counts array<int>, n_words bigint").select("id", "terms").toLocalIterator()
+    have = [(r["id"], np.array(r["terms"], dtype=np.int64)) for r in toxic if r["terms"]]
+    seen: list[list[int]] = [[] for _ in terms]
+    for n, (_, own) in enumerate(have):
+        for t in own:
+            seen[t].append(n)
+    times = np.array([len(x) for x in seen])
+    roots = np.unique([t[:4] for t in terms], return_inverse=True)[1]
+    alone = np.array([evident(r["toxic"], r["clean"]) for r in rows])
+    keep = np.zeros(len(terms), dtype=bool)
+    for i in np.flatnonzero(alone):
+        own = np.concatenate([have[n][1] for n in seen[i]])
+        both = np.bincount(own, minlength=len(terms))
+        together = alone & (roots != roots[i]) & (both > 0.6 * (times[i] + times - both))
+        if together.sum() < 4:
+            keep[i] = True
+            continue
+        apart = sum(1 for n in seen[i] if 2 * together[have[n][1]].sum() < together.sum())
+        keep[i] = evident(apart, rows[i]["clean"])
+    for copies, own in sorted(have, key=lambda x: (-x[0], x[1].tolist())):
+        if copies >= least and not keep[own].any():
+            best = min(own, key=lambda t: (-rows[t]["toxic"] - rows[t]["repeats"] + rows[t]["clean"], terms[t]))
+            keep[best] = True
+    return [terms[i] for i in np.flatnonzero(keep)][:TERMS]
 
 
 @dataclass
