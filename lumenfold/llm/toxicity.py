@@ -77,13 +77,27 @@ def _hits(terms: list[str]):
     return run
 
 
+def telling(toxic: int, clean: int, prior: float, least: int) -> bool:
+    """Whether more of a term's texts are toxic than not, and chance gives that as rarely as `least` toxic ones and no clean one.
+
+    By Chernoff's bound on the binomial tail. How much such a term is worth, the label model estimates.
+    """
+    if toxic <= clean:
+        return False
+    p = toxic / (toxic + clean)
+    divergence = p * np.log(p / prior) + ((1 - p) * np.log((1 - p) / (1 - prior)) if p < 1 else 0.0)
+    return bool((toxic + clean) * divergence >= least * -np.log(prior))
+
+
 def induce_terms(sample: DataFrame) -> list[str]:
-    """Words and beginnings that toxic texts have and clean ones hardly, best first.
+    """Words and beginnings that speak for a toxic text more than against it, best first.
 
     sample: (id, text, toxic) rows, at most SAMPLE. Equal texts count once, so a group of copies has one text's say; it
     is toxic if most of its rows are. A term needs more toxic texts than chance would give some term of the vocabulary.
+    A beginning that clean texts have more often than a longer term must add enough toxic texts to that one's.
     Terms that nearly always occur together with several others are a passage of near copies, unless the texts that
-    have them without half of the passage suffice. A text with enough toxic rows, but none of these terms, adds its best one.
+    have them without half of the passage suffice. A text with enough toxic rows, but none of these terms, adds its
+    best one.
     """
     texts = materialize(sample.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), F.count("*").alias("copies")), "texts")
     counted = materialize(texts.select("text", "toxic", "copies").mapInArrow(_term_counts(), "term string, clean bigint, toxic bigint, repeats bigint").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "repeats")]), "terms")
@@ -91,7 +105,7 @@ def induce_terms(sample: DataFrame) -> list[str]:
     prior = min(0.5, max(1e-3, share[0] or 1e-3))
     size = counted.count()
     least = max(3, int(np.ceil(np.log(max(size, 2)) / -np.log(prior))) - 3)
-    evident = lambda toxic, clean: toxic >= least and toxic >= 100 * clean
+    evident = lambda toxic, clean: toxic >= least and telling(toxic, clean, prior, least)
     found = counted.where(F.col("toxic") + F.col("repeats") >= least).where(F.col("toxic") + F.col("repeats") > F.col("clean")).orderBy(F.desc("toxic"), F.desc("repeats"), "term").collect()
     # a term that only rows of copies speak for is there for texts which have no other
     rows = [r for r in found if evident(r["toxic"] + r["repeats"], r["clean"])]
@@ -107,6 +121,15 @@ def induce_terms(sample: DataFrame) -> list[str]:
     times = np.array([len(x) for x in seen])
     roots = np.unique([t[:4] for t in terms], return_inverse=True)[1]
     alone = np.array([evident(r["toxic"], r["clean"]) for r in rows])
+    # a beginning is judged on the texts that it adds to those of its longer, cleaner kin
+    kin: dict[int, list[int]] = {}
+    for i in np.flatnonzero(alone):
+        kin.setdefault(roots[i], []).append(i)
+    for i in [i for i in np.flatnonzero(alone) if terms[i][-1] == "*" and rows[i]["clean"]]:
+        cleaner = [j for j in kin[roots[i]] if j != i and terms[j].startswith(terms[i][:-1]) and rows[j]["clean"] < rows[i]["clean"]]
+        if cleaner:
+            more = set(seen[i]).difference(*[seen[j] for j in cleaner])
+            alone[i] = evident(len(more), rows[i]["clean"] - max(rows[j]["clean"] for j in cleaner))
     keep = np.zeros(len(terms), dtype=bool)
     for i in np.flatnonzero(alone):
         own = np.concatenate([have[n][1] for n in seen[i]])

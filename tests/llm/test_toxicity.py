@@ -43,3 +43,14 @@ def test_a_hot_group_of_toxic_copies_takes_no_insult_from_the_lexicon(spark, var
 def test_a_text_known_by_its_copies_alone_has_evidence(spark):
     rows = [r for r in corpus(0.0, 0) if not r[2]] + [(5000 + i, "zorble zannek zimtor ploovit krandel", 1) for i in range(50)]
     assert lexicon(spark, rows) & {"zorble", "zannek", "zimtor", "ploovit", "krandel", "zorb*", "zann*", "zimt*", "ploo*", "kran*"}
+
+
+def test_clean_texts_that_mention_insults_take_none_from_the_lexicon(spark):
+    rows = corpus(0.02, 0)
+    assert set(INSULTS) <= lexicon(spark, rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    score = {r["id"]: r["score"] for r in toxicity_scores(docs.drop("toxic"), docs.drop("text")).collect()}
+    mentions = {i for i, text, _ in rows if set(text.split()) & {*INSULTS}}
+    toxic = [i for i, _, t in rows if t]
+    assert sum(score[i] >= 0.7 for i in toxic) >= 0.95 * len(toxic)
+    assert sum(score[i] >= 0.7 for i, _, t in rows if not t and i not in mentions) <= 2
