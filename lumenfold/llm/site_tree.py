@@ -34,8 +34,8 @@ P_ENDS = BLOCKS - {"html", "body"}
 LETTERS = re.compile(r"[A-Za-z]+")
 #: A branch whose composite importance is lower goes, if so many pages of the host have it.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 5
-#: A text goes that so high a normalized entropy spreads over a branch's pages.
-REPEATED = 0.8
+#: A text outside of articles goes that is on so large a share of a branch's pages, on hosts of any size.
+REPEATED = 0.5
 
 
 def host_of(url: str | None) -> str:
@@ -145,7 +145,7 @@ def parse(html: str | None) -> tuple[list[tuple], list[tuple]]:
     return blocks, styles
 
 
-BLOCK = pa.struct([("text", pa.string()), ("print", pa.int64()), ("nodes", pa.list_(pa.int64()))])
+BLOCK = pa.struct([("text", pa.string()), ("print", pa.int64()), ("nodes", pa.list_(pa.int64())), ("inside", pa.bool_())])
 STYLE = pa.struct([("node", pa.int64()), ("children", pa.int64())])
 
 
@@ -165,7 +165,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node = lambda path, host=host: _signed(xxhash.xxh3_64_intdigest((path & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), seed=host))
                 candidates = [b for b in found if not b[3]]
                 article = any(b[2] for b in candidates)
-                blocks.append([{"text": t if inside or not article else None, "print": _signed(xxhash.xxh3_64_intdigest(t)), "nodes": [node(x) for x in paths]} for t, paths, inside, _ in candidates])
+                blocks.append([{"text": t if inside or not article else None, "print": _signed(xxhash.xxh3_64_intdigest(t)), "nodes": [node(x) for x in paths], "inside": inside} for t, paths, inside, _ in candidates])
                 styles.append([{"node": node(path), "children": children} for path, children in seen])
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(blocks, pa.list_(BLOCK)), pa.array(styles, pa.list_(STYLE))], ["uid", "id", "url", "blocks", "styles"])
 
@@ -186,7 +186,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     The DOMs of a host's pages are merged by path and style. An element's node importance is the entropy of its
     presentation styles over the pages that have it, to the base of their number; a content feature's is one less the
     entropy of its spread over those pages; their composite weighs node importance by 1 - gamma^styles. Branches with
-    little composite importance, and texts spread over most pages of a branch, are removed. So are elements which by
+    little composite importance, and texts outside of article and main elements that are on at least half of a
+    branch's pages, are removed. So are elements which by
     tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms or comments. Where a page has an
     article or main element with text left, the rest of the page goes too. Where entropy would take more than half
     of what that leaves of a page, the page is a copy of others, and keeps it.
@@ -196,7 +197,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ship(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     raw = pages.select(F.monotonically_increasing_id().alias("uid"), pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
-    schema = f"uid bigint, id {kind}, url string, blocks array<struct<text:string,print:bigint,nodes:array<bigint>>>, styles array<struct<node:bigint,children:bigint>>"
+    schema = f"uid bigint, id {kind}, url string, blocks array<struct<text:string,print:bigint,nodes:array<bigint>,inside:boolean>>, styles array<struct<node:bigint,children:bigint>>"
     parsed = materialize(raw.mapInArrow(_parsed, schema), "dom")
 
     # on how many pages a node is, and a text within it
@@ -204,7 +205,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     features = parsed.select(F.explode(F.array_distinct(every)).alias("f")).groupBy("f.node", "f.print").agg(F.count("*").alias("times"))
     nodes = parsed.select(F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["nodes"])))).alias("node")).groupBy("node").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     branches = features.join(nodes, "node").withColumn("entropy", F.log("times") / F.log("pages"))
-    branches = branches.groupBy("node").agg((1 - F.avg("entropy")).alias("content"), F.collect_list(F.when((F.col("entropy") >= REPEATED) & (F.col("times") >= LEAST_PAGES), F.col("print"))).alias("repeated"))
+    branches = branches.groupBy("node").agg((1 - F.avg("entropy")).alias("content"), F.collect_list(F.when((F.col("times") >= REPEATED * F.col("pages")) & (F.col("times") >= LEAST_PAGES), F.col("print"))).alias("repeated"))
     seen = parsed.select(F.explode("styles").alias("s")).groupBy(F.col("s.node").alias("node"), F.col("s.children").alias("children")).agg(F.count("*").alias("c"))
     total = seen.groupBy("node").agg(F.sum("c").alias("t"), F.count("*").alias("styles"), F.sum(F.col("c") * F.log("c")).alias("clogc")).where("t > 1")
     # -sum(p log p) with p = c / t is log t - sum(c log c) / t
@@ -214,9 +215,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     judged = materialize(branches.join(style, "node", "left").select("node", (composite < LEAST_IMPORTANCE).alias("weak"), "repeated").where("weak or size(repeated) > 0"), "judged")
     weak, repeated = judged.where("weak").select("node"), judged.select("node", F.explode("repeated").alias("print"))
 
-    at = parsed.select("uid", F.posexplode("blocks").alias("i", "b")).select("uid", "i", F.col("b.print").alias("print"), F.col("b.nodes").alias("nodes"))
+    at = parsed.select("uid", F.posexplode("blocks").alias("i", "b")).select("uid", "i", F.col("b.print").alias("print"), F.col("b.nodes").alias("nodes"), F.col("b.inside").alias("inside"))
     by_branch = at.select("uid", "i", F.explode("nodes").alias("node")).join(weak, "node", "left_semi").select("uid", "i", F.lit(True).alias("branch"))
-    by_text = at.select("uid", "i", F.element_at("nodes", -1).alias("node"), "print").join(repeated, ["node", "print"], "left_semi").select("uid", "i", F.lit(False).alias("branch"))
+    by_text = at.where("not inside").select("uid", "i", F.element_at("nodes", -1).alias("node"), "print").join(repeated, ["node", "print"], "left_semi").select("uid", "i", F.lit(False).alias("branch"))
     removed = materialize(by_branch.unionByName(by_text).groupBy("uid").agg(F.collect_set(F.when(F.col("branch"), F.col("i"))).alias("branch"), F.collect_set(F.when(~F.col("branch"), F.col("i"))).alias("same")), "removed")
 
     # pages that lose nothing aren't shuffled
