@@ -16,7 +16,9 @@ from .common import materialize, ship
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|select|textarea|button|title|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(?P<held>noscript|template|iframe|object|select|button|canvas|audio|video)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</(?P=held)\s*>"
+    r"|<(?P<drawn>svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</(?P=drawn)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/](?:[^>]*)>|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -105,7 +107,7 @@ def parse(html: str | None) -> tuple[list[tuple], list[tuple]]:
             continue
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"]:
+            if m["raw"] or m["held"] or m["drawn"]:
                 words.append(" ")
             continue
         if tag in ("br", "img", "wbr"):

@@ -1,6 +1,6 @@
-"""Texts that many pages of a host share."""
+"""Texts that many pages of a host share, and elements that are no text."""
 
-from lumenfold.llm.site_tree import main_text
+from lumenfold.llm.site_tree import main_text, parse
 
 
 def test_a_paragraph_on_some_pages_of_a_large_host_stays(spark):
@@ -17,3 +17,10 @@ def test_a_paragraph_on_some_pages_of_a_large_host_stays(spark):
         assert ("two in five" in got[i]) == quoted and ("two in five" in got[1000 + i]) == quoted
         assert "strip" not in got[1000 + i]
         assert ("strip" in got[2000 + i]) == bool(i % 10)
+
+
+def test_custom_and_closed_elements_swallow_nothing():
+    for element in ("<video-js id=a></video-js>", '<svg class="i"/>', "<svg />", "<math/>", "<select-box>", "<title-bar>", "<svg><title>no</title></svg>", "<title>no</title>", '<script src="a"/>no</script >', "<video controls>no</video>"):
+        assert [b[0] for b in parse(f"<article><p>one</p>{element}<p>two</p></article>")[0]] == ["one", "two"], element
+    for element in ("script", "style", "textarea", "title"):
+        assert [b[0] for b in parse(f"<article><p>one</p><{element}><p>two</p></article>")[0]] == ["one"], element
