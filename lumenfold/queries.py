@@ -114,6 +114,11 @@ _Y = "(greatest(p, 0.001::DOUBLE) - 0.5::DOUBLE)"
 _R = f"({_Y} * {_Y})"
 _CENTRAL = f"{_Y} * (((-25.44106049637::DOUBLE * {_R} + 41.39119773534::DOUBLE) * {_R} + -18.61500062529::DOUBLE) * {_R} + 2.50662823884::DOUBLE) / ((((3.13082909833::DOUBLE * {_R} + -21.06224101826::DOUBLE) * {_R} + 23.08336743743::DOUBLE) * {_R} + -8.47351093090::DOUBLE) * {_R} + 1.0::DOUBLE)"
 formulas("F28_norm_inverse", {"f_inv": ("if(abs(p - 0.5) < 0.42, norm_inv(p, 2, 3), Null)", f"CASE WHEN abs(p - 0.5::DOUBLE) < 0.42 THEN 2 + 3 * ({_CENTRAL}) END")})
+_FAR = "ln(-ln(greatest(least(p, 1.0::DOUBLE - p), 0.001::DOUBLE)))"
+_SERIES = "0.0000003960315187::DOUBLE"
+for _c in ("0.0000002888167364", "0.0000321767881768", "0.0003951896511919", "0.0038405729373609", "0.0276438810333863", "0.1607979714918209", "0.9761690190917186", "0.3374754822726147"):
+    _SERIES = f"({_SERIES} * {_FAR} + {_c}::DOUBLE)"
+formulas("F28_norm_inverse_tails", {"f_inv": ("norm_inv(p, 2, 3)", f"CASE WHEN p > 0 AND p < 1 THEN 2 + 3 * (CASE WHEN abs(p - 0.5::DOUBLE) < 0.42 THEN {_CENTRAL} WHEN p < 0.5 THEN -{_SERIES} ELSE {_SERIES} END) END")})
 formulas("F29_F30_negative_binomial", {
     "f_cdf": ("nbinom_cdf(mod(n, 4), p * 10, 0.5)", "CASE WHEN p > 0 THEN (SELECT sum(t) FROM (SELECT pow(1 / (1 + 5.0::DOUBLE * p), 2) * (i + 1) * pow(1 - 1 / (1 + 5.0::DOUBLE * p), i) AS t FROM range(0, (n::BIGINT % 4) + 1) r(i))) END"),
     "f_sf": ("nbinom_sf(mod(n, 4), p * 10, 0.5)", "CASE WHEN p > 0 THEN 1 - (SELECT sum(t) FROM (SELECT pow(1 / (1 + 5.0::DOUBLE * p), 2) * (i + 1) * pow(1 - 1 / (1 + 5.0::DOUBLE * p), i) AS t FROM range(0, (n::BIGINT % 4) + 1) r(i))) END"),
