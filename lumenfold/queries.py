@@ -475,6 +475,15 @@ def match(spark, sf_dir):
     return H.token_match(q, r).select("query_id", F.round("score", 8).alias("score"))
 
 
+@query("J13_token_match_whole", ORACLES["J13_token_match"].replace(" WHERE p_partkey % 7 = 0", ""))
+def match_whole(spark, sf_dir):
+    """The whole table is the registry."""
+    p = table(spark, sf_dir, "part")
+    q = p.select(F.col("p_partkey").alias("id"), F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("token")).where("token <> ''")
+    r = p.select(F.col("p_brand").alias("id"), F.explode(F.split(F.lower("p_type"), " ")).alias("token")).where("token <> ''")
+    return H.token_match(q, r).select("query_id", F.round("score", 8).alias("score"))
+
+
 # ------------------------------------------------------------------ writes and set operations
 KEYS = ["Scenario", "Time", "Market"]
 
@@ -516,6 +525,18 @@ def write_batch(spark, sf_dir):
     return Wr.commit(store, cells, ["k"])
 
 
+_FILTERED_STORE = "SELECT o_custkey AS k, sum(o_totalprice * 0 + 1) AS value FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1"
+
+
+@query("K01_K02_write_batch_whole", ORACLES["K01_K02_write_batch"].replace(_FILTERED_STORE, "SELECT c_custkey AS k, c_acctbal::DOUBLE AS value FROM customer").replace(" WHERE o_orderkey % 5 = 0", ""))
+def write_batch_whole(spark, sf_dir):
+    """All customers are the store, all orders the batch."""
+    store = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").cast("double").alias("value"))
+    intent = F.when(F.col("o_orderkey") % 4 == 0, "Set").when(F.col("o_orderkey") % 4 == 1, "Clear").otherwise("Increment")
+    cells = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), intent.alias("intent"), (F.col("o_orderkey") % 10).cast("double").alias("value"))
+    return Wr.commit(store, cells, ["k"])
+
+
 @query("P15_T29_wide_cells", """WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE (o_orderkey % 9)::VARCHAR END AS code FROM orders)
 SELECT k, (price IS NULL OR code = 'x') AS row_failed, 'Price' AS "Measure", price AS value FROM b WHERE price IS NOT NULL UNION ALL SELECT k, false, 'Code', code::DOUBLE FROM b WHERE price IS NOT NULL AND code <> 'x'""")
 def wide(spark, sf_dir):
