@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, build
@@ -254,13 +254,17 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """One row of each near-duplicate group, with all its columns: that of the smallest id.
 
-    Rows without an id belong to no group and stay. Of rows that repeat an id one stays, that with the smallest text.
+    Rows without an id belong to no group and stay. Rows that repeat an id are rows by themselves, in order of their
+    texts: one goes if its own text links, with that id's or another's.
     """
-    found = minhash_components(docs, id_col, text_col, words, numerator, denominator)
+    known = docs.where(docs[id_col].isNotNull())
+    if known.groupBy(id_col).count().where("count > 1").limit(1).count():
+        # row numbers in order of ids and texts; written, so that they hold
+        numbered = known.orderBy(F.col(id_col), F.col(text_col).asc_nulls_last()).withColumn("_lumenfold_row", F.monotonically_increasing_id())
+        known, by = materialize(numbered, "rows"), "_lumenfold_row"
+    else:
+        known, by = docs, id_col
+    found = minhash_components(known, by, text_col, words, numerator, denominator)
     dropped = found.where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    kept = docs.join(dropped, docs[id_col] == dropped["_gone"], "left_anti")
-    repeated = docs.where(docs[id_col].isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return kept.withColumn("_rank", F.when(F.col(id_col).isNotNull(), rank).otherwise(1)).where("_rank = 1").drop("_rank")
+    kept = known.join(dropped, known[by] == dropped["_gone"], "left_anti")
+    return kept if by == id_col else kept.drop(by).unionByName(docs.where(docs[id_col].isNull()))
