@@ -32,6 +32,12 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
@@ -73,8 +79,9 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it with a probability under 1e-6; a whole copy is missed still more seldom. Shingles of the window and a quarter more are then
     intersected with the template's. A window without any template's shingle can't agree with one, which a set lookup finds first, so minima are
     taken of the others alone. first_word is the window's place, in words from 0; of equal containments the first.
-    Null, empty and short texts match nothing. Templates of fewer than five words are not accepted. Repeated rows give
-    repeated results for their ids merged to one; a null id is kept as one group.
+    Null, empty and short texts match nothing; texts of any length are read whole. Templates of fewer than five words
+    are not accepted. An id gets what any of its rows matches, and null ids are one such group: of several matches of
+    a template the best, then the first, counts. Extra columns of any name are left out; an empty table gives none.
     """
     spark: SparkSession = docs.sparkSession
     known = spark.createDataFrame(sorted((templates if templates is not None else TEMPLATES).items()), "license string, body string")
@@ -103,7 +110,8 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = F.transform(starts, lambda k: F.struct((k * F.col("step") + 1).alias("start"), F.slice("h", k * F.col("step") + 1, F.col("length")).alias("part"), F.slice("h", k * F.col("step") + 1, F.ceil(F.col("length") * 1.25).cast("int")).alias("wide")))
     windows = framed.select("id", "class", F.explode(cut).alias("x")).select("id", "class", "x.*")
     keyed = windows.select("id", "class", "start", "wide", F.posexplode(_minima(F.col("part"), bands)).alias("band", "value"))
-    candidates = keyed.join(F.broadcast(bound), ["class", "band", "value"]).groupBy("id", "class", "start", "license").agg(F.first("wide").alias("wide"))
+    # rows that repeat an id, or have none, are told apart by what the window holds
+    candidates = keyed.join(F.broadcast(bound), ["class", "band", "value"]).groupBy("id", "class", "start", "license", F.xxhash64("wide").alias("_same")).agg(F.first("wide").alias("wide"))
     checked = candidates.join(F.broadcast(table.select("license", "wanted")), "license")
     checked = checked.select("id", "license", (F.col("start") - 1).alias("first_word"), F.size(F.array_intersect("wide", "wanted")).alias("matched"), F.size("wanted").alias("n_shingles"))
     checked = checked.withColumn("containment", F.col("matched") / F.col("n_shingles")).where(F.col("containment") >= containment)
