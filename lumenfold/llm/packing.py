@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import base64
-import os
+import json
+import re
 import sys
 import zlib
 from array import array
@@ -31,31 +31,59 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Characters on which all Unicode versions agree about letters, digits and spaces; other texts go to the library whole.
+_SETTLED = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u0377\u0400-\u0527\u05d0-\u05ea\u2010-\u2027\u2030-\u205e\u20a0-\u20b5\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
+#: How the byte-level step of such a tokenizer cuts a text.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Words whose ids a worker keeps.
+_CACHE = 300_000
+
+
+class _Ids(dict):
+    """A word's ids as bytes, by the library's own model, kept while there is room."""
+
+    def __init__(self, model):
+        super().__init__()
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.model, self.letters = model, {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _CACHE:
+            self.clear()
+        ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        ids = self[word] = ids.tobytes()
+        return ids
+
+
 class Encoder:
-    """Token ids as little-endian uint32 bytes; strings of special tokens are ordinary text.
+    """Token ids as little-endian uint32 bytes, as the tokenizers library gives them with add_special_tokens=False.
 
-    Where the vocabulary's ranks lie beside the tokenizer file, the tiktoken library encodes, with equal ids and
-    several times faster; else the tokenizers library does.
+    Where its file describes a plain byte-level BPE, words are cut here and each distinct one is given to the library's
+    model once, which is twice as fast and gives equal ids. Texts with a special token's string, or with characters
+    outside of _SETTLED, and all texts of other tokenizers go to the library whole.
     """
 
     def __init__(self, path: str):
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        if os.path.exists(ranks):
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as lines:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.ids = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        form = json.loads(self.tokenizer.to_str())
+        step, model = form["pre_tokenizer"] or {}, form["model"]
+        plain = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and form["normalizer"] is None and form["truncation"] is None and form["padding"] is None
+        plain = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        self.words = _Ids(self.tokenizer.model) if plain else None
+        self.special = [t["content"] for t in form["added_tokens"]]
 
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        return np.array(self.ids(text), dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", self.ids(text)).tobytes()
+        if self.words is None or not _SETTLED.fullmatch(text) or any(t in text for t in self.special):
+            return self.whole(text)
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
 
 
 def encoder(path: str) -> Encoder:
@@ -138,7 +166,7 @@ def _local(level: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first = (level << 58) | (TaskContext.get().partitionId() << 36)
+        first = (level << 57) | (TaskContext.get().partitionId() << 36)
         held: list[pa.RecordBatch] = []
         count = 0
 
@@ -163,21 +191,25 @@ def _local(level: int, limit: int):
 def pack_items(items: DataFrame, limit: int = TOKENS, nearly: int = NEARLY) -> DataFrame:
     """(item, length) to (item, sequence_id, offset), items being distinct longs, lengths from 1 to limit.
 
-    Every task packs its own items best-fit, longest first. Bins nearly full are final; the underfull ones are
-    the items of the next round, over ever fewer tasks, until one task's worth is left. Each round is written to
-    the shared folder, so that a lost executor can't make half of a round anew with other bins.
+    Every task packs its own items best-fit, longest first. Bins nearly full, and those that not even the emptiest
+    bin fits into, are final; the others are the items of the next round, over ever fewer tasks, until one task's
+    worth is left, or a round joins fewer than one bin in a thousand. Each round is written to the shared folder, so
+    that a lost executor can't make half of a round anew with other bins.
     """
     spark = items.sparkSession
     ship(spark)
     schema = "item bigint, bin bigint, offset bigint, fill bigint"
-    todo, left, level, rounds = items.select("item", "length"), None, 0, []
+    todo, left, level, tasks, rounds = items.select("item", "length"), None, 0, 0, []
     while True:
         packed = materialize(todo.mapInArrow(_local(level, limit), schema), "pack")
         rounds.append(packed)
         open_ = packed.where(F.col("fill") < nearly).select(F.col("bin").alias("item"), F.col("fill").alias("length")).distinct()
+        least = open_.agg(F.min("length")).first()[0]
+        open_ = open_.where(F.col("length") + F.lit(least or 0) <= limit)  # the others fit with none
         before, left = left, open_.count()
-        tasks = -(-left // LOCAL_ITEMS)
-        if level and (packed.rdd.getNumPartitions() == 1 or (before is not None and left > 0.9 * before and tasks > 1)) or left < 2 or level == 14:
+        # where a round hardly joined bins, the next one mixes over half as many tasks
+        tasks = -(-left // LOCAL_ITEMS) if before is None or left <= 0.9 * before else max(1, -(-tasks // 2))
+        if level and packed.rdd.getNumPartitions() == 1 or left < 2 or level == 30 or (before is not None and left > 0.999 * before and tasks > 1):
             break
         todo, level = open_.repartition(max(1, tasks), F.xxhash64("item")).sortWithinPartitions("item"), level + 1
         if tasks <= 1:
