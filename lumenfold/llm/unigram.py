@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import cache as once
@@ -20,12 +21,23 @@ CACHE = 400_000
 
 @once
 def default_vocabulary() -> tuple[tuple[str, float], ...]:
-    """The pieces of the public 32k model with their scores, without control pieces."""
+    """The pieces of the public 32k model, without control pieces, with log-probabilities by Zipf's law over their rank.
+
+    That model merges pairs; its own scores are minus the ranks of merges, no logarithms of anything, and summing them
+    would split common words. A piece that was merged early is frequent, so the n-th piece gets a share in proportion to
+    1 / n; single characters, which were not merged, stand at the end. The counts are exactly those of the unigram
+    tokenizer with this vocabulary. No such tokenizer is published: they come near the model's own counts, without
+    being equal to them. Pass the pieces and scores of a published unigram model to have its counts.
+    """
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    return tuple((model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i))
+    pieces = [(model.get_score(i), i) for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i)]
+    rank = {i: n for n, (_, i) in enumerate(sorted((p for p in pieces if not model.is_byte(p[1])), key=lambda p: (-p[0], p[1])), 1)}
+    last = len(rank) + 1  # bytes stand for what is rarer than any piece
+    whole = sum(1 / n for n in rank.values())
+    return tuple((model.id_to_piece(i), -math.log(whole * rank.get(i, last))) for _, i in pieces)
 
 
 class CountViterbi:
@@ -135,7 +147,10 @@ def unigram_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """(doc_id, n_tokens, n_unknown) for every row, over whole texts.
 
     Words stand between spaces and carry a mark in front, as the library's Metaspace step makes them; each is decided by
-    itself, from a score of 0, so equal words have equal counts and are decided once. Null and empty texts: 0.
+    itself, from a score of 0, so equal words have equal counts and are decided once. Of segmentations of one score the
+    one with the longest last piece counts, as in the library. Null and empty texts: 0. Texts of any length are counted
+    whole, a word at a time; repeated rows, and rows without an id, are counted each; extra columns of any name are left
+    out; an empty table gives none.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
