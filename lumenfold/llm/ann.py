@@ -13,7 +13,11 @@ from .common import materialize, ship
 from .vectors import matrix, usable_vectors
 
 DEGREE, BUILD_BEAM, ALPHA = 32, 64, 1.2
-SHARD_ROWS, QUERY_BLOCK = 4096, 2048
+#: Rows of a shard: as many vectors as SHARD_BYTES hold in single precision, within these bounds.
+SHARD_BYTES, LEAST_SHARD, MOST_SHARD = 64 << 20, 4096, 65_536
+QUERY_BLOCK = 32_768
+#: A shard's beam is the first of these with which SAMPLE queries, picked by hash, reach this recall in it.
+BEAMS, RECALL, SAMPLE = (32, 48, 64, 96, 128, 192, 256, 384, 512), 0.97, 256
 
 
 def _distances(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -103,15 +107,16 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     """A directed graph over the rows of x and the node to start from (the most central one).
 
     Rows are inserted in batches of doubling size: a batch's searches propose neighbours, pruning picks some, and
-    the reverse edges are pruned again where a node has too many. Two passes, the second with the relaxed bound.
+    the reverse edges are pruned again where a node has too many. Single precision is enough to propose edges.
     """
     n = len(x)
+    x = x.astype(np.float32)
     start = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
     graph = np.full((n, degree), -1, dtype=np.int32)
     order = np.random.default_rng(3).permutation(n)
-    for bound in (1.0, alpha):
+    for bound in (alpha,):
         done = 0
-        size = 1 if (graph < 0).all() else 512
+        size = 1
         while done < n:
             batch = order[done : done + size]
             done += len(batch)
@@ -134,19 +139,49 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
     return graph, start
 
 
-def _index():
+def nearest(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k nearest found: single precision searches, double precision ranks what the beam holds."""
+    found, _ = beam_search(x.astype(np.float32), graph, start, q.astype(np.float32), beam)
+    d = _distances_exact(x, found, q)
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(found, order, axis=1), np.take_along_axis(d, order, axis=1)
+
+
+def _distances_exact(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+    d = np.empty(ids.shape)
+    for s in range(0, len(ids), 256):
+        d[s : s + 256] = np.sqrt(((x[np.maximum(ids[s : s + 256], 0)] - q[s : s + 256, None, :]) ** 2).sum(axis=2))
+    d[ids < 0] = np.inf
+    return d
+
+
+def fitting_beam(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, k: int) -> int:
+    """The narrowest beam whose recall at k, of the sample q against brute force over the shard, is RECALL or more."""
+    if not len(q):
+        return BEAMS[-1]
+    d = (x * x).sum(axis=1)[None, :] - 2 * q @ x.T
+    true = np.argpartition(d, min(k, len(x)) - 1, axis=1)[:, :k]
+    for beam in BEAMS:
+        found, _ = nearest(x, graph, start, q, beam, k)
+        if np.mean([len(set(f) & set(t)) / len(t) for f, t in zip(found.tolist(), true.tolist(), strict=True)]) >= RECALL:
+            return beam
+    return BEAMS[-1]
+
+
+def _index(sample: np.ndarray, k: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        graph, start = build_graph(matrix(table["vec"]))
+        x = matrix(table["vec"])
+        graph, start = build_graph(x)
+        beams = np.zeros(len(graph), dtype=np.int32)  # of the start alone
+        beams[start] = fitting_beam(x, graph, start, sample, k)
         edges = pa.array([r[r >= 0] for r in graph], pa.list_(pa.int32()))
-        first = np.zeros(len(graph), dtype=bool)
-        first[start] = True
-        return pa.table([table["shard"], pa.array(np.arange(len(graph), dtype=np.int32)), table["id"], table["vec"], edges, pa.array(first)], ["shard", "node", "id", "vec", "edges", "is_start"])
+        return pa.table([table["shard"], pa.array(np.arange(len(graph), dtype=np.int32)), table["id"], table["vec"], edges, pa.array(beams)], ["shard", "node", "id", "vec", "edges", "beam"])
 
     return run
 
 
-def _search(k: int, beam: int):
+def _search(k: int):
     def run(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["query_id", "id", "distance"]
         if not index.num_rows or not queries.num_rows:
@@ -156,28 +191,29 @@ def _search(k: int, beam: int):
         lengths = edges.value_lengths().to_numpy()
         graph = np.full((len(x), max(1, int(lengths.max()))), -1, dtype=np.int32)
         graph[np.repeat(np.arange(len(x)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = edges.flatten().to_numpy()
-        start = int(np.flatnonzero(index["is_start"].to_numpy())[0])
+        beams = index["beam"].to_numpy()
+        start = int(beams.argmax())
         ids, q, qid = index["id"].to_numpy(), matrix(queries["vec"]), queries["query_id"].to_numpy()
         out = []
         # the visited map takes a byte for each query and node
         step = max(1, (1 << 25) // len(x))
         for s in range(0, len(q), step):
-            found, _ = beam_search(x, graph, start, q[s : s + step], beam)
-            found = found[:, : k + 1]
+            found, d = nearest(x, graph, start, q[s : s + step], int(beams[start]), k + 1)
             r, c = np.nonzero(found >= 0)
-            d = np.sqrt(((x[found[r, c]] - q[s : s + step][r]) ** 2).sum(axis=1))
-            out.append((qid[s : s + step][r], ids[found[r, c]], d))
+            out.append((qid[s : s + step][r], ids[found[r, c]], d[r, c]))
         return pa.table([pa.array(np.concatenate(z)) for z in zip(*out, strict=True)], names)
 
     return run
 
 
-def graph_neighbours(embeddings: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, beam: int = 160) -> DataFrame:
+def graph_neighbours(embeddings: DataFrame, queries: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, by Euclidean distance.
 
     Queries: given rows, or the rows whose id is divisible by `every`. Every row but the query itself is a candidate.
-    Equal vectors are one node, which stands for its smallest ids; nodes are dealt to shards of about SHARD_ROWS by
-    hash, each gets a graph, written to the shared folder, and each block of QUERY_BLOCK queries visits each shard.
+    Equal vectors are one node, which stands for its smallest ids; nodes are dealt by hash to shards, of 65,536 or, in
+    many dimensions, as many as SHARD_BYTES hold. Each gets a graph, written to the shared folder, and a beam
+    that is measured on SAMPLE queries against brute force in that shard: data in clusters need narrow ones, data that lie
+    in all directions alike wide ones. Each block of QUERY_BLOCK queries visits each shard.
     Distances are double precision, on the original vectors; ties go to the smaller id. Fewer than k candidates:
     all are returned. Null, zero and non-finite vectors, those with null components, null ids and vectors of another
     dimension than most take no part. A repeated id counts once for equal vectors.
@@ -191,19 +227,22 @@ def graph_neighbours(embeddings: DataFrame, queries: DataFrame | None = None, id
     thin = thin.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= k + 1).select("vec", "id")
     members = materialize(thin.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.element_at("ids", 1)), "members")
     n = members.count()
-    shards = max(1, -(-n // SHARD_ROWS))
+    dimension = members.select(F.size("vec")).first()[0] if n else 1
+    shards = max(1, -(-n // max(LEAST_SHARD, min(MOST_SHARD, SHARD_BYTES // (4 * dimension)))))
     dealt = members.select((F.pmod(F.xxhash64("id", F.lit(17)), F.lit(shards))).cast("int").alias("shard"), "id", "vec")
-    index = materialize(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_index(), "shard int, node int, id bigint, vec array<double>, edges array<int>, is_start boolean"), "graph")
     if queries is None:
         asked = good.where(F.col("id") % every == 0)
     else:
         asked = usable_vectors(queries, id_col, vector_col)
     asked = asked.select(F.col("id").alias("query_id"), "vec")
+    # SAMPLE rows at most
+    sample = matrix(pa.array([r["vec"] for r in asked.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).select("vec").collect()], pa.list_(pa.float64())))
+    index = materialize(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_index(sample, k + 1), "shard int, node int, id bigint, vec array<double>, edges array<int>, beam int"), "graph")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block")
     right = asked.select("query_id", "vec", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).groupBy("shard", "block")
-    found = left.cogroup(right).applyInArrow(_search(k, beam), "query_id bigint, id bigint, distance double")
+    found = left.cogroup(right).applyInArrow(_search(k), "query_id bigint, id bigint, distance double")
     nearest = Window.partitionBy("query_id").orderBy("distance", "id")
     # of the nodes, k + 1 are enough, since each brings a candidate other than the query, but for the query's own
     top = found.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
