@@ -13,38 +13,80 @@ from .common import materialize, ship
 from .components import connected_components
 from .vectors import matrix, usable_vectors
 
-#: Rows of a cell's side that one task compares at once; larger cells are joined block by block.
-BLOCK = 4096
-#: Distinct vectors to a pivot, and the most pivots that are broadcast (MAX_PIVOTS * dimension * 8 bytes).
-PER_PIVOT, MAX_PIVOTS = 8192, 4096
+#: Bytes of a side that one task holds; larger cells are joined block by block, and a block in strips.
+BLOCK_BYTES, STRIP = 16 << 20, 2048
+#: Numbers of pivots to choose from, the largest bounding what is broadcast (times dimension * 8 bytes).
+PIVOTS = (1, 4, 16, 64, 256, 1024, 4096)
+#: Vectors, picked by hash, that pivots are drawn from and on which their number is chosen.
+SAMPLE = 8192
+#: What it costs to copy a vector to one more cell, in comparisons.
+COPY = 2000
 SLACK = 1e-9
 
 
-def _assign(pivots: np.ndarray, reach: float):
-    """The home cell of each unit vector and all cells whose home vectors may lie within reach of it.
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def spread_pivots(x: np.ndarray, most: int) -> np.ndarray:
+    """Rows of x in the order of k-means++ seeding: each drawn in proportion to its squared distance from those before, so every prefix is a spread set."""
+    rng = np.random.default_rng(5)
+    chosen = [0]
+    left = ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(most, len(x)) and left.max() > 1e-12:
+        at = int(np.searchsorted(np.cumsum(left), rng.random() * left.sum(), side="right"))
+        chosen.append(min(at, len(x) - 1))
+        left = np.minimum(left, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
+def _cells(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit vector's home cell, and all cells (as a matrix) whose home vectors may lie within reach of it.
 
     If x is at home with p and y with q, and |x - y| <= reach, then |x - q| <= |x - p| + 2 * reach by the triangle
     inequality; and y's side of the plane between p and q is no further from x than reach, which is a tighter
     bound. x is a candidate in q's cell where both hold.
     """
-    between = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1), 0)) if len(pivots) <= 1024 else None
+    square = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(axis=1)[None, :], 0)
+    home = square.argmin(axis=1)
+    row = np.arange(len(x))
+    near = np.sqrt(square[row, home])
+    inside = np.sqrt(square) <= near[:, None] + 2 * reach + SLACK
+    own = pivots[home]
+    between = np.sqrt(np.maximum((own * own).sum(axis=1)[:, None] - 2 * own @ pivots.T + (pivots * pivots).sum(axis=1)[None, :], 0))
+    inside &= square - square[row, home][:, None] <= 2 * reach * between + SLACK
+    inside[row, home] = True
+    return home, inside
+
+
+def choose_pivots(sample: np.ndarray, n: int, reach: float) -> np.ndarray:
+    """Pivots for n vectors like the sample: as many as make comparisons and copies together cheapest."""
+    spread = spread_pivots(sample, min(PIVOTS[-1], max(1, n // 64)))
+    best = None
+    for k in PIVOTS:
+        if k > len(spread):
+            break
+        homes, members, copies = np.zeros(k), np.zeros(k), 0.0
+        for s in range(0, len(sample), 1024):
+            home, inside = _cells(sample[s : s + 1024], spread[:k], reach)
+            homes += np.bincount(home, minlength=k)
+            members += inside.sum(axis=0)
+            copies += inside.sum()
+        m = len(sample)
+        cost = n * n * float(homes @ members) / (m * m) + COPY * n * copies / m
+        if best is None or cost < best[0]:
+            best = (cost, k)
+    return spread[: best[1]]
+
 
+def _assign(pivots: np.ndarray, reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column(1))
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            square = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(axis=1)[None, :], 0)
-            home = square.argmin(axis=1)
-            row = np.arange(len(x))
-            near = np.sqrt(square[row, home])
-            inside = np.sqrt(square) <= near[:, None] + 2 * reach + SLACK
-            if between is not None:
-                inside &= square - square[row, home][:, None] <= 2 * reach * between[home] + SLACK
-            inside[row, home] = True
-            cells = [np.flatnonzero(r).astype(np.int32) for r in inside]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(home.astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))], ["id", "vec", "weight", "home", "cells"])
+            for s in range(0, batch.num_rows, 1024):
+                part = batch.slice(s, 1024)
+                home, inside = _cells(_unit(matrix(part.column(1))), pivots, reach)
+                cells = [np.flatnonzero(r).astype(np.int32) for r in inside]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(home.astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))], ["id", "vec", "weight", "home", "cells"])
 
     return run
 
@@ -71,27 +113,33 @@ def _forest(adjacent: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list
 
 
 def _compare(threshold: float):
-    """Joins one block of a cell's home vectors with one block of its candidates."""
+    """Joins one block of a cell's home vectors with one block of its candidates, strip by strip."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         side = table["is_home"].to_numpy()
-        ids, vec, weight = table["id"].to_numpy(), matrix(table["vec"]), table["weight"].to_numpy()
-        vec /= np.sqrt((vec * vec).sum(axis=1))[:, None]
+        ids, vec, weight = table["id"].to_numpy(), _unit(matrix(table["vec"])), table["weight"].to_numpy()
         x, y = vec[side], vec[~side]
         a, b, w = ids[side], ids[~side], weight[~side]
-        # single precision finds what may be near; double precision decides
-        close = x.astype(np.float32) @ y.astype(np.float32).T >= np.float32(threshold - 1e-4)
-        i, j = np.nonzero(close)
-        for s in range(0, len(i), 1 << 18):
-            p, q = i[s : s + (1 << 18)], j[s : s + (1 << 18)]
-            close[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= threshold
-        close &= a[:, None] != b[None, :]
-        counts = close @ w.astype(np.float64)
-        linked = counts > 0
-        links = _forest(close, a, b)
-        u = [int(v) for v in a[linked]] + [int(x) for x, _ in links]
-        v = [None] * int(linked.sum()) + [int(x) for _, x in links]
-        n = [int(c) for c in counts[linked]] + [None] * len(links)
+        rough = y.astype(np.float32)
+        u, v, n = [], [], []
+        for s in range(0, len(x), STRIP):
+            strip, own = x[s : s + STRIP], a[s : s + STRIP]
+            counts = np.zeros(len(strip))
+            for t in range(0, len(y), 4 * STRIP):
+                # single precision finds what may be near; double precision decides
+                close = strip.astype(np.float32) @ rough[t : t + 4 * STRIP].T >= np.float32(threshold - 1e-4)
+                i, j = np.nonzero(close)
+                if not len(i):
+                    continue
+                for c in range(0, len(i), 1 << 18):
+                    p, q = i[c : c + (1 << 18)], j[c : c + (1 << 18)]
+                    close[p, q] = (np.einsum("ij,ij->i", strip[p], y[t + q]) >= threshold) & (own[p] != b[t + q])
+                counts += close @ w[t : t + 4 * STRIP].astype(np.float64)
+                rows, columns = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+                for p, q in _forest(close[np.ix_(rows, columns)], own[rows], b[t + columns]):
+                    u.append(int(p)), v.append(int(q)), n.append(None)
+            for p in np.flatnonzero(counts):
+                u.append(int(own[p])), v.append(None), n.append(int(counts[p]))
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], ["u", "v", "n"])
 
     return run
@@ -101,7 +149,8 @@ def cosine_components(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
     """(id, n_links, component_id) for every row: vectors linked at a cosine of at least the threshold.
 
     Cosine c of unit vectors is distance sqrt(2 - 2 c), so this is a range join in a metric space. Equal vectors
-    become one weighted class. Pivots are classes picked by hash, one for PER_PIVOT, at most MAX_PIVOTS. A vector is
+    become one weighted class. Pivots are drawn by k-means++ from SAMPLE classes picked by hash, and as many are taken as
+    promise the least work on these. A vector is
     at home in its nearest pivot's cell, and a candidate in all cells that its distance can't rule out; each home
     vector therefore meets all its partners in its own cell. Cells are compared in blocks, so no task holds more
     than two blocks, and give counts and a spanning forest, not pairs.
@@ -114,18 +163,19 @@ def cosine_components(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
     good = materialize(usable_vectors(embeddings, id_col, vector_col), "vectors")
     classes = materialize(good.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "vec", "weight"), "classes")
     n = classes.count()
-    k = max(1, min(MAX_PIVOTS, -(-n // PER_PIVOT)))
-    picked = matrix(pa.array([r["vec"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(k).select("vec").collect()], pa.list_(pa.float64())))
     if not n:
         none = F.lit(None).cast("long")
         return embeddings.select(embeddings[id_col].alias("id"), F.lit(0).cast("long").alias("n_links"), F.coalesce(embeddings[id_col], none).alias("component_id"))
-    pivots = picked / np.sqrt((picked * picked).sum(axis=1))[:, None]
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    placed = materialize(classes.repartition(max(1, n // 2048)).mapInArrow(_assign(pivots, reach), "id bigint, vec array<double>, weight bigint, home int, cells array<int>"), "cells")
+    # SAMPLE rows at most
+    sample = _unit(matrix(pa.array([r["vec"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()], pa.list_(pa.float64()))))
+    pivots = choose_pivots(sample, n, reach)
+    block = max(1024, BLOCK_BYTES // (8 * pivots.shape[1]))
+    placed = materialize(classes.repartition(max(1, n // 8192)).mapInArrow(_assign(pivots, reach), "id bigint, vec array<double>, weight bigint, home int, cells array<int>"), "cells")
     homes = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("h"))
     members = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("m"))
     # at most one row for each pivot
-    sized = F.broadcast(homes.join(members, "cell").select("cell", F.ceil(F.col("h") / BLOCK).cast("int").alias("hs"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ms")))
+    sized = F.broadcast(homes.join(members, "cell").select("cell", F.ceil(F.col("h") / block).cast("int").alias("hs"), F.ceil(F.col("m") / block).cast("int").alias("ms")))
     own = F.xxhash64("id")
     left = placed.select("id", "vec", "weight", F.col("home").alias("cell"), F.lit(True).alias("is_home")).join(sized, "cell")
     left = left.select("*", F.pmod(own, F.col("hs")).cast("int").alias("hb"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("mb"))
