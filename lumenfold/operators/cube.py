@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from copy import copy
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -160,17 +161,16 @@ class Cube:
             both = v.isNotNull() & w.isNotNull()
             top, bottom = F.sum(F.when(both, v * w * weight)), F.sum(F.when(both, w * weight))
             return finite(F.when(F.abs(bottom) >= 1e-300, F.try_divide(top, bottom)))
-        if m.aggregation == "Min":
-            return F.min(v)
-        if m.aggregation == "Max":
-            return F.max(v)
+        if m.aggregation in ("Min", "Max"):
+            return (F.min if m.aggregation == "Min" else F.max)(F.when(weight.isNotNull(), v))
         return finite(F.sum(finite(v * weight)))
 
     def consolidate(self, levels: Mapping[str, Iterable[str] | None], measures: Iterable[str], frame: DataFrame | None = None, by: Iterable[str] | None = None) -> DataFrame:
         """Measures at the elements named for each dimension (None: all levels), the other axes as they are, or only those in `by`.
 
-        Leaves are evaluated first; one closure for each dimension is joined (they are metadata, so small) and one
-        aggregation follows, whose partial step folds leaves before anything is shuffled.
+        Leaves are evaluated first; one closure for each dimension is broadcast (a row for each pair of an element and a
+        leaf below it: metadata, whatever the facts' size) and one aggregation follows, whose partial step folds leaves
+        before anything is shuffled.
         """
         measures = list(measures)
         chosen = [self.model.measure(m) for m in measures]
@@ -178,7 +178,7 @@ class Cube:
         rows = frame if frame is not None else self.evaluate(needed)
         weight = F.lit(1.0)
         for d, keep in levels.items():
-            table = self.closure(d, keep).select(F.col("leaf").alias(d), F.col("ancestor").alias(f"_a_{d}"), F.col("weight").alias(f"_w_{d}"))
+            table = F.broadcast(self.closure(d, keep).select(F.col("leaf").alias(d), F.col("ancestor").alias(f"_a_{d}"), F.col("weight").alias(f"_w_{d}")))
             rows = rows.join(table, d)
             weight = weight * F.col(f"_w_{d}")
         rest = [a for a in (self.axes if by is None else by) if a not in levels]
@@ -188,13 +188,45 @@ class Cube:
     # reads
     def read(self, coordinate: Mapping[str, str]) -> DataFrame:
         """One cell: an input or derived leaf, or a consolidated element. One row, whose value is null if there is nothing."""
-        at = {k: v for k, v in coordinate.items() if k in self.axes}
-        measure = coordinate["Measure"]
-        for d, e in at.items():
-            if e not in self.model.dimension(d).elements:
-                raise ModelError("MC2002", f"{d} has no element {e}")
-        out = self.consolidate({d: [e] for d, e in at.items()}, [measure])
-        return out.agg(F.max(measure).alias("value"))
+        return self.reads({"value": coordinate})
+
+    def reads(self, cells: Mapping[str, Mapping[str, str]]) -> DataFrame:
+        """Several cells as columns of one row: leaves are evaluated once and folded in one aggregation, without joins.
+
+        A leaf's weight in a cell is the product of its weights below the cell's elements, from literal maps; leaves
+        elsewhere have none.
+        """
+        chosen = {name: self.model.measure(at["Measure"]) for name, at in cells.items()}
+        rows = self.evaluate(sorted({x for m in chosen.values() for x in (m.name, m.weight) if x}))
+        made, reached = [], F.lit(False)
+        for name, at in cells.items():
+            weight = F.lit(1.0)
+            for d, e in at.items():
+                if d in self.axes:
+                    weight = weight * self._weight(d, e)
+            made.append(self.aggregate(chosen[name], weight).alias(name))
+            reached = reached | weight.isNotNull()
+        return rows.where(reached).agg(*made)
+
+    def _weight(self, dim: str, element: str) -> Column:
+        """A leaf's weight below an element, null elsewhere."""
+        d = self.model.dimension(dim)
+        if element not in d.elements:
+            raise ModelError("MC2002", f"{dim} has no element {element}")
+        below: dict[str, float] = {}
+        for leaf, w in d.hierarchy.descendants(element) if d.hierarchy else [(element, 1.0)]:
+            below[leaf] = below.get(leaf, 0.0) + w
+        if set(below.values()) == {1.0}:
+            return F.when(F.col(dim).isin(list(below)), 1.0)
+        return F.try_element_at(F.create_map(*[x for leaf, w in below.items() for x in (F.lit(leaf), F.lit(float(w)))]), F.col(dim))
+
+    def at(self, anchor: str) -> Cube:
+        """The same cube with another element of time as its anchor."""
+        if self.model.time is None or anchor not in self.model.time.elements:
+            raise ModelError("MC2002", f"time has no element {anchor}")
+        model = copy(self.model)
+        model.anchor = anchor
+        return Cube(model, self.facts)
 
     def bind(self, dim: str, how) -> list[str]:
         """Elements of a slice's binding: a name, a list, ('subtree', name), 'all' (leaves) or 'all_consolidated'."""

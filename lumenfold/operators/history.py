@@ -8,6 +8,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions.report import Report, Typed, benchmark_columns, mentioned, percentile_rank
 from lumenfold.model.schema import ModelError
 
 ORDERED = Window.unboundedPreceding
@@ -98,8 +99,8 @@ def budget_events(rows: DataFrame, keys: Iterable[str], period: str, value: str,
 
 
 def percentile_of(value: Column, p: Mapping[int, Column]) -> Column:
-    """The breakpoint rank of a value among a benchmark's p10 to p90."""
-    return F.when(value.isNull(), F.lit(None).cast("double")).when(value >= p[90], 90.0).when(value >= p[75], 75.0).when(value >= p[50], 50.0).when(value >= p[25], 25.0).when(value >= p[10], 10.0).otherwise(0.0)
+    """The breakpoint rank of a value among a benchmark's p10 to p90: the first that it doesn't exceed, 100 beyond all."""
+    return percentile_rank(value, p)
 
 
 def z_score(value: Column, mean: Column, deviation: Column) -> Column:
@@ -162,6 +163,25 @@ def fire(rows: DataFrame, templates: list[dict], keys: Iterable[str]) -> DataFra
     return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def fire_texts(rows: DataFrame, templates: list[dict], keys: Iterable[str], library: DataFrame | None = None, scope: str | None = None) -> DataFrame:
+    """fire() with conditions and bindings written in the language of report texts, over the rows' columns.
+
+    A template: id, finding, priority, when, text, and bindings, named expressions that the text and each other
+    mention. Numbers in a text may have a format. Benchmarks come from the library for each row's scope.
+    """
+    texts = [e for t in templates for e in (t["when"], *t.get("bindings", {}).values())]
+    metrics = sorted(mentioned(texts)) if library is not None else []
+    if metrics:
+        rows = benchmark_columns(rows, library, scope, metrics)
+    kind = lambda t: "bool" if t == "boolean" else "text" if t in ("string", "date", "timestamp") else "number"
+    report = Report({c: Typed(kind(t), F.col(f"`{c}`").cast("double") if kind(t) == "number" else F.col(f"`{c}`")) for c, t in rows.dtypes if not t.startswith("struct")}, metrics)
+    made = []
+    for t in templates:
+        bound = report.bound(t.get("bindings", {}))
+        made.append({**t, "when": report(t["when"]).truth, "values": {n: v.column for n, v in bound.columns.items()}})
+    return fire(rows, made, keys)
+
+
 def context_events(events: DataFrame, period: str, kind: str | None = None, lookback: int = 1) -> DataFrame:
     """Events of this period (lookback 1) or of any period (more), how many and what they say."""
     rows = events if kind is None else events.where(F.col("kind") == kind)
@@ -201,3 +221,8 @@ def token_match(queries: DataFrame, registry: DataFrame, accept: float = 0.30, m
     apart = F.col("second").isNull() | (F.col("score") - F.col("second") >= margin) | (F.col("score") >= F.col("second") * (1 + relative))
     status = F.when((F.col("score") >= accept) & apart, "accepted").when(F.col("score") >= review, "review").otherwise("rejected")
     return top.select("query_id", "entry_id", "score", status.alias("status"))
+
+
+def match_counts(matches: DataFrame) -> DataFrame:
+    """How many queries were accepted, are for review, or were rejected."""
+    return matches.groupBy("status").agg(F.count("*").alias("n"))

@@ -15,7 +15,7 @@ from lumenfold.model.schema import ModelError
 
 from .cube import Cube
 
-_TOKEN = re.compile(r"\s*(?:(?P<str>\"[^\"]*\"|'[^']*')|(?P<num>-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<op>>=|<=|==|!=|=|[<>()]))")
+_TOKEN = re.compile(r"\s*(?:(?P<str>\"[^\"]*\"|'[^']*')|(?P<num>-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)|(?P<name>[A-Za-z_](?:\w|-(?=\w))*)|(?P<op>>=|<=|==|!=|=|[<>()!]))")
 #: What the predicate form does not evaluate.
 _MUTE = frozenset("exp norm_cdf norm_inv nbinom_cdf nbinom_sf wilson_ci_lower wilson_ci_upper".split())
 
@@ -24,7 +24,8 @@ class Filter:
     """The simple grammar: and, or, not, parentheses and comparisons of measures, dimensions and literals.
 
     Null equals null, differs from everything else and is in no order; numbers are equal within 1e-9, also for >= and <=;
-    text is never in order, and never compares with numbers.
+    text is never in order, and never compares with numbers. Names may hold hyphens; one that is no measure and no
+    dimension is null.
     """
 
     def __init__(self, text: str, measures: set[str], dims: set[str]):
@@ -33,7 +34,10 @@ class Filter:
             m = _TOKEN.match(text, at)
             if not m:
                 raise ModelError("MC1101", f"unexpected {text[at:][:8]!r} in the filter")
-            self.tokens.append((m.lastgroup, m[m.lastgroup]))
+            kind, value = m.lastgroup, m[m.lastgroup]
+            if kind == "name" and value in ("AND", "OR", "NOT") or value == "!":
+                value = "not" if value == "!" else value.lower()
+            self.tokens.append((kind, value))
             at = m.end()
         self.i, self.measures, self.dims = 0, measures, dims
 
@@ -86,7 +90,9 @@ class Filter:
             return F.col(value), "number"
         if value in self.dims:
             return F.col(value), "text"
-        raise ModelError("MC1102", f"unknown name {value}")
+        if kind == "name" and value not in ("and", "or", "not"):
+            return F.lit(None).cast("string"), "none"
+        raise ModelError("MC1101", f"unexpected {value!r} in the filter")
 
     def _compare(self) -> Column:
         a, k = self._atom()
@@ -96,7 +102,7 @@ class Filter:
         self.i += 1
         b, m = self._atom()
         none, either = a.isNull() & b.isNull(), a.isNull() | b.isNull()
-        if k != m:
+        if k != m or k == "none":
             return F.coalesce(F.when(either, none if op in ("==", "=") else ~none if op == "!=" else F.lit(False)).otherwise(F.lit(False)), F.lit(False))
         if k == "text":
             test = {"==": a == b, "=": a == b, "!=": a != b}.get(op, F.lit(False))
@@ -118,8 +124,8 @@ class _Predicate(Compiler):
         return super().plain(tree)
 
 
-def where(cube: Cube, frame: DataFrame, text: str) -> DataFrame:
-    """Rows that match. Text with a call in it is tried as a formula first, which is true at 1e-9 or more from 0."""
+def predicate(cube: Cube, frame: DataFrame, text: str) -> tuple[DataFrame, Column, list[str]]:
+    """(frame, test, columns added to the frame for it). Text with a call in it is tried as a formula first, which is true at 1e-9 or more from 0."""
     if re.search(r"[A-Za-z_]\w*\s*\(", text) and not re.match(r"^\s*(and|or|not)\b", text):
         try:
             tree = formula.parse(text)
@@ -131,8 +137,14 @@ def where(cube: Cube, frame: DataFrame, text: str) -> DataFrame:
                 raise ModelError("MC1025", f"{bad} reads other coordinates, which a filter can't")
             compiler = _Predicate(frame, cube.scope)
             test = compiler.number(tree)
-            return compiler.frame.where(F.abs(test) >= NEAR).drop(*compiler.made)
-    return frame.where(F.coalesce(Filter(text, cube.scope.measures, set(cube.axes)).column(), F.lit(False)))
+            return compiler.frame, F.coalesce(F.abs(test) >= NEAR, F.lit(False)), list(compiler.made)
+    return frame, F.coalesce(Filter(text, cube.scope.measures, set(cube.axes)).column(), F.lit(False)), []
+
+
+def where(cube: Cube, frame: DataFrame, text: str) -> DataFrame:
+    """Rows that match."""
+    frame, test, made = predicate(cube, frame, text)
+    return frame.where(test).drop(*made)
 
 
 def needed(cube: Cube, text: str | None, measures: Iterable[str]) -> list[str]:
@@ -140,47 +152,75 @@ def needed(cube: Cube, text: str | None, measures: Iterable[str]) -> list[str]:
     return sorted({*inside, *measures})
 
 
-def select(cube: Cube, show: Iterable[str] | None = None, filter_: str | None = None, limit: int = 10_000, offset: int = 0, dense: str = "all") -> DataFrame:
-    """Leaf coordinates that match, in declared order, with the shown measures (all by default); one page of them."""
+def select(cube: Cube, show: Iterable[str] | None = None, filter_: str | None = None, limit: int | None = 10_000, offset: int = 0, dense: str = "all") -> DataFrame:
+    """Leaf coordinates that match, in declared order, with the shown measures (all by default); one page of them, or all (limit None)."""
     show = list(show) if show is not None else [m.name for m in cube.model.measures]
     rows = cube.evaluate(needed(cube, filter_, [s for s in show if s not in cube.axes]), dense=dense)
     if filter_:
         rows = where(cube, rows, filter_)
     rows = rows.orderBy(*[cube.ordinal(a) for a in cube.axes])
-    return rows.offset(offset).limit(limit).select(*cube.axes, *[s for s in show if s not in cube.axes])
+    rows = rows.offset(offset) if offset else rows
+    return (rows if limit is None else rows.limit(limit)).select(*cube.axes, *[s for s in show if s not in cube.axes])
 
 
 _AGGREGATE = re.compile(r"^\s*(mean|avg|sum|min|max|count)\s*\((.*)\)\s*$", re.S)
 
 
-def aggregate(cube: Cube, call: str, filter_: str | None = None, group_by: Iterable[str] = (), limit: int = 10_000, offset: int = 0, dense: str = "none") -> DataFrame:
-    """mean, sum, min, max or count of a measure, or count of a predicate, over matching leaves; 0.0 where nothing is left. Groups come in the order of their names."""
-    m = _AGGREGATE.match(call)
-    if not m:
-        raise ModelError("MC1103", f"unknown aggregate {call}")
-    kind, inner = m[1], m[2].strip()
-    rows = cube.evaluate(needed(cube, f"{filter_ or ''} {inner}", []), dense=dense)
-    if filter_:
-        rows = where(cube, rows, filter_)
+def _folded(cube: Cube, rows: DataFrame, call: str, test: Column | None) -> tuple[DataFrame, Column]:
+    """The frame and the value of an aggregate over its rows that pass the test; 0.0 where nothing is left."""
+    kind, inner = _AGGREGATE.match(call)[1], _AGGREGATE.match(call)[2].strip()
     if inner in cube.scope.measures:
         column = F.col(inner)
     elif kind == "count":
-        rows, column = where(cube, rows, inner).withColumn("_one", F.lit(1)), F.col("_one")
+        rows, inside, _ = predicate(cube, rows, inner)
+        column = F.when(inside, 1)
     else:
         raise ModelError("MC1102", f"unknown measure {inner}")
-    value = {"mean": F.avg, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[kind](column).cast("double")
+    fold = {"mean": F.avg, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[kind]
+    return rows, F.coalesce(fold(column if test is None else F.when(test, column)).cast("double"), F.lit(0.0))
+
+
+def _known(call: str) -> str:
+    if not _AGGREGATE.match(call):
+        raise ModelError("MC1103", f"unknown aggregate {call}")
+    return call
+
+
+def aggregate(cube: Cube, call: str, filter_: str | None = None, group_by: Iterable[str] = (), limit: int | None = 10_000, offset: int = 0, dense: str = "none") -> DataFrame:
+    """mean, sum, min, max or count of a measure, or count of a predicate, over matching leaves; 0.0 where nothing is left. Groups come in the order of their names."""
+    rows = cube.evaluate(needed(cube, f"{filter_ or ''} {_known(call)}", []), dense=dense)
+    if filter_:
+        rows = where(cube, rows, filter_)
+    rows, value = _folded(cube, rows, call, None)
     group_by = list(group_by)
-    out = rows.groupBy(*group_by).agg(F.coalesce(value, F.lit(0.0)).alias("value"))
-    return out.orderBy(*group_by).offset(offset).limit(limit) if group_by else out
+    out = rows.groupBy(*group_by).agg(value.alias("value"))
+    if not group_by:
+        return out
+    out = out.orderBy(*group_by)
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)
+
+
+def aggregates(cube: Cube, calls: Mapping[str, tuple[str, str | None]], group_by: Iterable[str] = (), dense: str = "none") -> DataFrame:
+    """Several aggregates, each (call, filter), as columns of one row or group: the cube is evaluated and read once."""
+    rows = cube.evaluate(needed(cube, " ".join(f"{f or ''} {_known(c)}" for c, f in calls.values()), []), dense=dense)
+    made = []
+    for name, (call, filter_) in calls.items():
+        test = None
+        if filter_:
+            rows, test, _ = predicate(cube, rows, filter_)
+        rows, value = _folded(cube, rows, call, test)
+        made.append(value.alias(name))
+    return rows.groupBy(*group_by).agg(*made)
 
 
 def diff(cube: Cube, dim: str, left: str, right: str, measure: str, limit: int | None = None, repeat: bool = False) -> DataFrame:
     """Cells of a measure that differ between two elements, by size of the difference. repeat: once for each element of the dimension, as enumerating every leaf gives it."""
-    rows = cube.evaluate([measure])
+    rows = cube.evaluate([measure]).where(F.col(dim).isin(left, right))
     rest = [a for a in cube.axes if a != dim]
-    x = rows.where(F.col(dim) == left).select(*rest, F.col(measure).alias("left_value"))
-    y = rows.where(F.col(dim) == right).select(*rest, F.col(measure).alias("right_value"))
-    out = x.join(y, rest).withColumn("delta", F.col("right_value") - F.col("left_value")).where(F.abs("delta") > NEAR)
+    side = lambda e: F.max(F.when(F.col(dim) == e, F.col(measure)))
+    # one cell for each coordinate and element, so the two values meet in a group
+    out = rows.groupBy(*rest).agg(side(left).alias("left_value"), side(right).alias("right_value")).withColumn("delta", F.col("right_value") - F.col("left_value")).where(F.abs("delta") > NEAR)
     if repeat:
         out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(len(cube.model.dimension(dim).leaves()))))).drop("_n")
     out = out.orderBy(F.abs("delta").desc(), *rest)

@@ -203,6 +203,18 @@ def draws_of(n: int, block: int | None) -> int:
     return -(-n // block) if n >= block else 1
 
 
+#: Records of a bootstrap's pool: the driver and every worker hold it whole.
+MOST_POOL = 2_000_000
+
+
+def bounded_pool(records: DataFrame, most: int = MOST_POOL) -> pd.DataFrame:
+    """An ordered pool for the driver; more than `most` records are an error."""
+    pool = records.limit(most + 1).toPandas()
+    if len(pool) > most:
+        raise ValueError(f"a pool of more than {most} records")
+    return pool
+
+
 def bootstrap(spark, pool: pd.DataFrame, sizing: Sizing, runs: int, start: float = 1000.0, block: int | None = None, seed: int = 0, most: float | None = None) -> DataFrame:
     """(run, final_bank, roi, max_drawdown) of resampled sequential replays, run by run in parallel, each from its place in one shared stream.
 
@@ -242,10 +254,10 @@ def bootstrap(spark, pool: pd.DataFrame, sizing: Sizing, runs: int, start: float
 
 
 def bands(runs: DataFrame, start: float = 1000.0) -> DataFrame:
-    """Nearest-rank 5, 25, 50, 75 and 95 percent bands of a bootstrap, and the share of runs that end below the start."""
-    n = F.count("*")
-    out = []
-    for c in ("final_bank", "roi", "max_drawdown"):
-        ordered = F.array_sort(F.collect_list(c))
-        out += [F.element_at(ordered, F.greatest(F.lit(1), F.ceil(F.lit(q) / 100.0 * n)).cast("int")).alias(f"{c}_p{q}") for q in (5, 25, 50, 75, 95)]
-    return runs.agg(*out, (F.count_if(F.col("final_bank") < start) / n).alias("p_underwater"))
+    """Nearest-rank 5, 25, 50, 75 and 95 percent bands of a bootstrap, and the share of runs that end below the start. Ranks come from a sort for each measure, not from lists."""
+    names, points = ("final_bank", "roi", "max_drawdown"), (5, 25, 50, 75, 95)
+    long = runs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in names])).alias("x")).select("x.*")
+    ranked = long.select("c", "v", F.row_number().over(Window.partitionBy("c").orderBy("v")).alias("r"), F.count("*").over(Window.partitionBy("c")).alias("n"))
+    at = lambda c, q: F.max(F.when((F.col("c") == c) & (F.col("r") == F.greatest(F.lit(1), F.ceil(F.lit(q) / 100.0 * F.col("n")))), F.col("v"))).alias(f"{c}_p{q}")
+    under = (F.count_if((F.col("c") == "final_bank") & (F.col("v") < start)) / F.count_if(F.col("c") == "final_bank")).alias("p_underwater")
+    return ranked.agg(*[at(c, q) for c in names for q in points], under)

@@ -125,11 +125,24 @@ class Imports:
         return a.where("event = 'apply'").join(gone, "id", "left_anti")
 
     def state(self, base: DataFrame, keys: Iterable[str], value: str = "value") -> DataFrame:
-        """The base with the active imports replayed over it in order; appends give way to what is there."""
-        out = base
-        for r in self.active().orderBy("at").collect():
-            out = dispose(out, self.spark.read.parquet(f"{self.root}/cells/import={r['id']}"), keys, r["disposition"], value)
-        return out
+        """The base with the active imports replayed over it in order; appends give way to what is there.
+
+        All imports are read at once, and a key's cells, one for each import that has it, are folded in order. So the plan
+        is one union and one aggregation, however many imports there are; of the audit the driver reads a line for each
+        active one. A key has one row, without a value where a merge has cleared it.
+        """
+        keys = list(keys)
+        order = [(r["id"], r["disposition"]) for r in self.active().orderBy("at").collect()]
+        if not order:
+            return base
+        number = self.spark.createDataFrame([(n + 1, *x) for n, x in enumerate(order)], "_n int, import string, _how string")
+        cells = self.spark.read.option("basePath", f"{self.root}/cells").parquet(*[f"{self.root}/cells/import={i}" for i, _ in order])
+        cells = cells.join(F.broadcast(number), "import").select(*keys, value, "_n", F.col("_how"))
+        rows = base.select(*keys, value, F.lit(0).alias("_n"), F.lit("merge").alias("_how")).unionByName(cells)
+        steps = F.array_sort(F.collect_list(F.struct("_n", "_how", F.col(value).alias("v"))))
+        kind = rows.schema[value].dataType
+        last = F.aggregate(steps, F.lit(None).cast(kind), lambda have, x: F.when((x["_how"] == "append") & have.isNotNull(), have).otherwise(x["v"]))
+        return rows.groupBy(*keys).agg(last.alias(value))
 
 
 def ledger_entries(findings: DataFrame, model: str, period: Column) -> DataFrame:

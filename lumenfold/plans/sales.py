@@ -36,7 +36,7 @@ def market(spark: SparkSession, sf_dir: str) -> Dimension:
 def leaf_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums by scenario, month and nation, in whole cents and percents so that no order of adding matters.
 
-    Order lines are summed by order first where nothing is lost by it; the small tables are joined last.
+    Lines are joined with their orders and customers by key and folded by nation number; nations' names, one row each, are joined last.
     """
     line, orders, customer, nation = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "nation"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")

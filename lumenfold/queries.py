@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import formula
 from lumenfold.functions.compiler import Compiler, Scope
+from lumenfold.functions.report import Report, Typed, benchmark_columns
 from lumenfold.model.schema import ReferenceData
 from lumenfold.operators import grade as G
 from lumenfold.operators import history as H
 from lumenfold.operators import query as Q
+from lumenfold.operators import records as Rec
 from lumenfold.operators import replay as R
 from lumenfold.operators import scenarios as X
 from lumenfold.operators import writes as Wr
@@ -113,12 +115,11 @@ formulas("F27_F31_statistics", {
 _Y = "(greatest(p, 0.001::DOUBLE) - 0.5::DOUBLE)"
 _R = f"({_Y} * {_Y})"
 _CENTRAL = f"{_Y} * (((-25.44106049637::DOUBLE * {_R} + 41.39119773534::DOUBLE) * {_R} + -18.61500062529::DOUBLE) * {_R} + 2.50662823884::DOUBLE) / ((((3.13082909833::DOUBLE * {_R} + -21.06224101826::DOUBLE) * {_R} + 23.08336743743::DOUBLE) * {_R} + -8.47351093090::DOUBLE) * {_R} + 1.0::DOUBLE)"
-formulas("F28_norm_inverse", {"f_inv": ("if(abs(p - 0.5) < 0.42, norm_inv(p, 2, 3), Null)", f"CASE WHEN abs(p - 0.5::DOUBLE) < 0.42 THEN 2 + 3 * ({_CENTRAL}) END")})
 _FAR = "ln(-ln(greatest(least(p, 1.0::DOUBLE - p), 0.001::DOUBLE)))"
 _SERIES = "0.0000003960315187::DOUBLE"
 for _c in ("0.0000002888167364", "0.0000321767881768", "0.0003951896511919", "0.0038405729373609", "0.0276438810333863", "0.1607979714918209", "0.9761690190917186", "0.3374754822726147"):
     _SERIES = f"({_SERIES} * {_FAR} + {_c}::DOUBLE)"
-formulas("F28_norm_inverse_tails", {"f_inv": ("norm_inv(p, 2, 3)", f"CASE WHEN p > 0 AND p < 1 THEN 2 + 3 * (CASE WHEN abs(p - 0.5::DOUBLE) < 0.42 THEN {_CENTRAL} WHEN p < 0.5 THEN -{_SERIES} ELSE {_SERIES} END) END")})
+formulas("F28_norm_inverse", {"f_inv": ("norm_inv(p, 2, 3)", f"CASE WHEN p > 0 AND p < 1 THEN 2 + 3 * (CASE WHEN abs(p - 0.5::DOUBLE) < 0.42 THEN {_CENTRAL} WHEN p < 0.5 THEN -{_SERIES} ELSE {_SERIES} END) END")})
 formulas("F29_F30_negative_binomial", {
     "f_cdf": ("nbinom_cdf(mod(n, 4), p * 10, 0.5)", "CASE WHEN p > 0 THEN (SELECT sum(t) FROM (SELECT pow(1 / (1 + 5.0::DOUBLE * p), 2) * (i + 1) * pow(1 - 1 / (1 + 5.0::DOUBLE * p), i) AS t FROM range(0, (n::BIGINT % 4) + 1) r(i))) END"),
     "f_sf": ("nbinom_sf(mod(n, 4), p * 10, 0.5)", "CASE WHEN p > 0 THEN 1 - (SELECT sum(t) FROM (SELECT pow(1 / (1 + 5.0::DOUBLE * p), 2) * (i + 1) * pow(1 - 1 / (1 + 5.0::DOUBLE * p), i) AS t FROM range(0, (n::BIGINT % 4) + 1) r(i))) END"),
@@ -226,16 +227,12 @@ SELECT (SELECT round(sum(gross), 2) FROM calc WHERE scenario = 'N' AND month = '
        (SELECT round(sum(revenue), 4) FROM calc WHERE scenario = 'R' AND left(month, 4) = '1996' AND region = 'ASIA') AS consolidated,
        (SELECT round(sum(disc * gross) / sum(gross), 8) FROM calc WHERE scenario = 'A' AND left(month, 4) = '1995') AS average""")
 def point_reads(spark, sf_dir):
-    cube = sales_cube(spark, sf_dir)
-    cells = [
-        (2, "leaf_input", {"Scenario": "N", "Time": "1998-03", "Market": "NATION_8", "Measure": "Gross"}), (4, "consolidated", {"Scenario": "R", "Time": "1996", "Market": "ASIA", "Measure": "Revenue"}),
-        (8, "average", {"Scenario": "A", "Time": "1995", "Market": "World", "Measure": "Disc"}),
-    ]
-    out = None
-    for digits, name, at in cells:
-        one = cube.read(at).select(F.round("value", digits).alias(name))
-        out = one if out is None else out.crossJoin(one)
-    return out
+    cells = {
+        "leaf_input": {"Scenario": "N", "Time": "1998-03", "Market": "NATION_8", "Measure": "Gross"}, "consolidated": {"Scenario": "R", "Time": "1996", "Market": "ASIA", "Measure": "Revenue"},
+        "average": {"Scenario": "A", "Time": "1995", "Market": "World", "Measure": "Disc"},
+    }
+    out = sales_cube(spark, sf_dir).reads(cells)
+    return out.select(F.round("leaf_input", 2).alias("leaf_input"), F.round("consolidated", 4).alias("consolidated"), F.round("average", 8).alias("average"))
 
 
 @query("P02_slice", f"""WITH {LEAF_SQL},
@@ -272,14 +269,14 @@ def indicator(spark, sf_dir):
 @query("P03_P05_where", f"""WITH {LEAF_SQL} SELECT scenario AS "Scenario", month AS "Time", market AS "Market", revenue AS "Revenue" FROM calc
 WHERE (gross >= 300000 OR abs(gross - 300000) < 1e-9) AND NOT scenario = 'A' OR market = 'NATION_8' AND disc < 0.04""")
 def where_simple(spark, sf_dir):
-    out = Q.select(sales_cube(spark, sf_dir), ["Revenue"], 'Gross >= 300000 and not Scenario == "A" or Market == "NATION_8" and Disc < 0.04', limit=1_000_000, dense="none")
+    out = Q.select(sales_cube(spark, sf_dir), ["Revenue"], 'Gross >= 300000 and not Scenario == "A" or Market == "NATION_8" and Disc < 0.04', limit=None, dense="none")
     return out
 
 
 @query("P06_where_formula", f"""WITH {LEAF_SQL} SELECT scenario AS "Scenario", month AS "Time", market AS "Market", price AS "Price" FROM calc
 WHERE sqrt(gross) > 600 AND CASE WHEN market IN ('NATION_8', 'NATION_9') THEN 1 ELSE 0 END = 0""")
 def where_formula(spark, sf_dir):
-    out = Q.select(sales_cube(spark, sf_dir), ["Price"], 'sqrt(Gross) > 600 and not (is_element(Market, "NATION_8") or is_element(Market, "NATION_9"))', limit=1_000_000, dense="none")
+    out = Q.select(sales_cube(spark, sf_dir), ["Price"], 'sqrt(Gross) > 600 and not (is_element(Market, "NATION_8") or is_element(Market, "NATION_9"))', limit=None, dense="none")
     return out
 
 
@@ -292,13 +289,9 @@ def page(spark, sf_dir):
 @query("A11_A12_aggregate", f"""WITH {LEAF_SQL} SELECT round(avg(gross), 4) AS mean_gross, round(sum(revenue), 4) AS sum_revenue, max(top) AS max_top, count(*) FILTER (qty > 1000)::DOUBLE AS n_large,
 coalesce((SELECT min(gross) FROM leaf WHERE gross > 1e15), 0.0)::DOUBLE AS none FROM calc""")
 def aggregates(spark, sf_dir):
-    cube = sales_cube(spark, sf_dir)
-    parts = {"mean_gross": ("mean(Gross)", None, 4), "sum_revenue": ("sum(Revenue)", None, 4), "max_top": ("max(Top)", None, 2), "n_large": ("count(Qty > 1000)", None, 0), "none": ("min(Gross)", "Gross > 1000000000000000", 2)}
-    out = None
-    for name, (call, test, digits) in parts.items():
-        one = Q.aggregate(cube, call, test).select(F.round("value", digits).alias(name))
-        out = one if out is None else out.crossJoin(one)
-    return out
+    calls = {"mean_gross": ("mean(Gross)", None), "sum_revenue": ("sum(Revenue)", None), "max_top": ("max(Top)", None), "n_large": ("count(Qty > 1000)", None), "none": ("min(Gross)", "Gross > 1000000000000000")}
+    digits = {"mean_gross": 4, "sum_revenue": 4, "max_top": 2, "n_large": 0, "none": 2}
+    return Q.aggregates(sales_cube(spark, sf_dir), calls).select(*[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
 @query("A13_group_by", f"""WITH {LEAF_SQL} SELECT market AS "Market", scenario AS "Scenario", round(sum(revenue), 4) AS value FROM calc WHERE qty > 100 GROUP BY ALL ORDER BY 1, 2 LIMIT 40 OFFSET 10""")
@@ -319,6 +312,40 @@ def permissions(spark, sf_dir):
     return Q.permitted(cube, cube.leaf("none"), grants, "ann").select("Scenario", "Time", "Market", "Gross")
 
 
+@query("P05_bare_names", f"""WITH {LEAF_SQL} SELECT scenario AS "Scenario", month AS "Time", market AS "Market", qty AS "Qty" FROM calc
+WHERE (gross >= 500000 OR abs(gross - 500000) < 1e-9) AND NOT qty < 100""")
+def bare_names(spark, sf_dir):
+    """A name that is neither a measure nor a dimension is null: equal to no element, different from all."""
+    return Q.select(sales_cube(spark, sf_dir), ["Qty"], "(Market == Tampa or Gross >= 500000) AND Scenario != Q1-2026 and !(Qty < 100)", limit=None, dense="none")
+
+
+@query("P13_anchor", f"""WITH {GRID_SQL} SELECT scenario AS "Scenario", month AS "Time", market AS "Market", (t - 24)::DOUBLE AS since, CASE WHEN t > 24 THEN gross * 2 END AS later FROM grid""")
+def anchored(spark, sf_dir):
+    cube = sales_cube(spark, sf_dir, {"since": "periods_since_anchor()", "later": "Gross * 2"}, quarters=False, scopes={"later": "FutureLeaves"}).at("1997-01")
+    return cube.evaluate(["since", "later"], dense="time").select("Scenario", "Time", "Market", F.col("since").cast("double").alias("since"), "later")
+
+
+@query("P10_filter_language", """SELECT event_id, event_type, user_id, value FROM events
+WHERE (coalesce(event_type = 'click', false) AND coalesce(value > 20.5, false) OR coalesce(abs(user_id - 3) < 1e-9, false)) AND NOT coalesce(event_type >= 'p', false) AND NOT coalesce(value < 1, false)""")
+def filter_language(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    return Rec.filtered(e, "(event_type == click AND value > 20.5 or user_id = 3) and not event_type >= 'p' and NOT (value < 1 or missing == 4)")
+
+
+@query("D11_outcomes", """SELECT event_id AS id, CASE WHEN abs(user_id % 5 - 2) < 1e-9 THEN 'push' WHEN event_id % 3 = 0 THEN 'win' WHEN event_id % 3 = 1 THEN 'loss' ELSE 'void' END AS derived,
+CASE WHEN event_id % 3 = 2 THEN 'void' END AS canonical FROM events""")
+def derived_outcomes(spark, sf_dir):
+    word = F.when(F.col("event_id") % 3 == 0, "1").when(F.col("event_id") % 3 == 1, "0").otherwise("Postponed")
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), Rec.outcome_of(word, "derived-pushes", F.col("user_id") % 5, F.lit("2")).alias("derived"), Rec.outcome_of(word).alias("canonical"))
+
+
+@query("S09_D10_canonical_records", """SELECT event_id AS r_id, ts AS r_ts, value AS r_p, user_id::DOUBLE AS r_odds, event_type AS r_outcome FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts <= TIMESTAMP '2024-01-20 23:59:59'""")
+def canonical_records(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("bet_id"), F.col("ts").alias("commence_time"), F.col("value").alias("prob"), F.col("user_id").cast("double").alias("decimal_odds"), F.col("event_type").alias("won"))
+    return S.window_of(S.canonical(e), "range:2024-01-02:2024-01-20", "r_ts").select("r_id", "r_ts", "r_p", "r_odds", "r_outcome")
+
+
 # ------------------------------------------------------------------ grading and scenarios
 _BAND = "CASE WHEN qty >= 0 AND qty < 100 THEN '[0,100)' WHEN qty >= 100 AND qty < 500 THEN '[100,500)' WHEN qty >= 500 AND qty <= 5000 THEN '[500,5000]' WHEN qty IS NULL THEN '(null)' ELSE '(out-of-range)' END"
 _LOWER = "(m + 3.841458820694124::DOUBLE / (2 * n)) / (1 + 3.841458820694124::DOUBLE / n) - 1.959963984540054::DOUBLE * sqrt(m * (1 - m) / n + 3.841458820694124::DOUBLE / (4.0 * n * n)) / (1 + 3.841458820694124::DOUBLE / n)"
@@ -336,6 +363,25 @@ def graded(spark, sf_dir):
     return out.select("segment", "n", F.round("mean_gross", 6).alias("mean_gross"), F.round("ratio", 6).alias("ratio"), F.round("std_gross", 4).alias("std_gross"), F.round("low", 8).alias("low"), "status", "flagged")
 
 
+_UPPER = _LOWER.replace(" - 1.959963984540054", " + 1.959963984540054")
+
+
+@query("A14_metrics", f"""WITH {LEAF_SQL}, u AS (SELECT *, (disc > 0.05)::INT::DOUBLE AS hit FROM calc), g AS (SELECT market, count(*) AS n, sum(qty) AS s, min(gross) AS lo, max(gross) AS hi, avg(tax) AS t, avg(hit) AS m FROM u GROUP BY 1)
+SELECT market AS "Market", n::DOUBLE AS n, s AS total, lo AS low, hi AS high, round(sqrt(t), 8) AS rmse, round(least(1, {_UPPER}), 8) AS upper FROM g""")
+def more_metrics(spark, sf_dir):
+    rows = sales_cube(spark, sf_dir).evaluate(["Revenue"]).withColumn("hit", (F.col("Disc") > 0.05).cast("double"))
+    out = G.evaluate_metrics(rows, {"n": ("count",), "total": ("sum", "Qty"), "low": ("min", "Gross"), "high": ("max", "Gross"), "rmse": ("rmse", "Tax"), "upper": ("wilson_upper", "hit")}, ["Market"])
+    return out.withColumn("rmse", F.round("rmse", 8)).withColumn("upper", F.round("upper", 8))
+
+
+@query("A22_sweep_metrics", f"""WITH {LEAF_SQL}, p AS (SELECT i::INT AS point, 0.5 + i * 0.25 AS v FROM range(0, 4) r(i)), x AS (SELECT point, gross * v::DOUBLE * (1 - disc) AS r FROM calc, p)
+SELECT point, round(avg(r), 4) AS mean_, round(min(r), 4) AS least_, round(max(r), 4) AS most_ FROM x GROUP BY 1""")
+def sweep_metrics(spark, sf_dir):
+    cube, values = sales_cube(spark, sf_dir), X.spanned(0.5, 1.25, 0.25)
+    made = [X.sweep(cube, "Gross", values, "Revenue", how, scale=True).select("point", F.round("metric", 4).alias(name)) for how, name in (("mean", "mean_"), ("min", "least_"), ("max", "most_"))]
+    return made[0].join(made[1], "point").join(made[2], "point")
+
+
 @query("X01_X02_whatif", f"""WITH {LEAF_SQL}, b AS (SELECT round(sum(revenue), 4) AS r, round(sum(gross), 2) AS g FROM calc WHERE scenario = 'N' AND market = 'NATION_8' AND month = '1998-03'),
 a AS (SELECT round(sum(1000000 * (1 - disc)), 4) AS r FROM calc WHERE scenario = 'N' AND market = 'NATION_8' AND month = '1998-03')
 SELECT 'Revenue' AS measure, b.r AS before, coalesce(a.r, 1000000.0) AS after, round(coalesce(a.r, 1000000.0) - coalesce(b.r, 0), 4) AS delta FROM b, a WHERE b.r IS NOT NULL""")
@@ -435,7 +481,7 @@ def where_statistics(spark, sf_dir):
 
 
 @query("N03_N09_report_text", f"""WITH {MONTHLY_SQL}, p AS (SELECT *, lag(value) OVER (PARTITION BY k ORDER BY period) AS prev FROM mon)
-SELECT k, period, round((value - prev) / prev * 100, 6) AS change, round(value / prev, 8) AS ratio, CASE WHEN value >= 400000 THEN 90 WHEN value >= 200000 THEN 75 WHEN value >= 100000 THEN 50 WHEN value >= 50000 THEN 25 WHEN value >= 10000 THEN 10 ELSE 0 END::DOUBLE AS percentile,
+SELECT k, period, round((value - prev) / prev * 100, 6) AS change, round(value / prev, 8) AS ratio, CASE WHEN value <= 10000 THEN 10 WHEN value <= 50000 THEN 25 WHEN value <= 100000 THEN 50 WHEN value <= 200000 THEN 75 WHEN value <= 400000 THEN 90 ELSE 100 END::DOUBLE AS percentile,
 round((value - 100000) / 50000, 8) AS z, concat('In ', period, ': ', CASE WHEN abs(value - 1) < 1e-9 THEN 'dollar' ELSE 'dollars' END) AS text FROM p""")
 def report_text(spark, sf_dir):
     rows = monthly(spark, sf_dir).withColumn("prev", F.lag("value").over(Window.partitionBy("k").orderBy("period")))
@@ -452,6 +498,56 @@ def templates(spark, sf_dir):
     return H.fire(rows, [{"id": "high", "finding": "level", "priority": 1, "when": F.col("value") > 150000, "text": "{k} is high in {p}", "values": values}, {"id": "some", "finding": "level", "priority": 2, "when": F.col("value") > 0, "text": "{k} has sales", "values": values}], ["k", "period"])
 
 
+_LIBRARY = """l AS (SELECT CASE WHEN k = '5-LOW' THEN '' ELSE k END AS scope, list_sort(list(value)) AS v, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM mon WHERE k <> '1-URGENT' GROUP BY ALL),
+lib AS (SELECT scope, v[floor(0.10::DOUBLE * (n - 1) + 0.5)::INT + 1] AS p10, v[floor(0.25 * (n - 1) + 0.5)::INT + 1] AS p25, v[floor(0.5 * (n - 1) + 0.5)::INT + 1] AS p50, v[floor(0.75 * (n - 1) + 0.5)::INT + 1] AS p75, v[floor(0.9::DOUBLE * (n - 1) + 0.5)::INT + 1] AS p90, mean, sd, n FROM l),
+p AS (SELECT *, lag(value) OVER (PARTITION BY k ORDER BY period) AS prev FROM mon), j AS (SELECT p.*, lib.* FROM p JOIN lib ON lib.scope = CASE WHEN k IN ('1-URGENT', '5-LOW') THEN '' ELSE k END)"""
+
+
+def _library(spark, sf_dir) -> DataFrame:
+    """Benchmarks by priority; those of low priority stand for all that have none of their own, as the urgent ones here."""
+    made = H.benchmark_library(monthly(spark, sf_dir).where("k <> '1-URGENT'"), ["k"])
+    return made.select(F.lit("Sales").alias("metric"), F.when(F.col("k") == "5-LOW", "").otherwise(F.col("k")).alias("scope"), *[f"p{n}" for n in (10, 25, 50, 75, 90)], "mean", "stddev", F.col("n").alias("sample_count"))
+
+
+@query("N01_N09_J14_report_language", f"""WITH {MONTHLY_SQL}, {_LIBRARY}
+SELECT k, period, ((value > 100000 OR coalesce(prev > value, false)) AND value < 300000) AS logic, round(floor(value / 7 * 100 + 0.5) / 100, 4) AS zero, CASE WHEN coalesce(value > prev, false) THEN value - prev ELSE -1.0::DOUBLE END AS rise,
+CASE WHEN value <= p10 THEN 10 WHEN value <= p25 THEN 25 WHEN value <= p50 THEN 50 WHEN value <= p75 THEN 75 WHEN value <= p90 THEN 90 ELSE 100 END::DOUBLE AS pct, round((value - mean) / sd, 7) AS z, (value > p50)::INT::DOUBLE AS above, p90 AS top, n::DOUBLE AS n, 0.0::DOUBLE AS nothing,
+NOT (prev IS NOT NULL AND abs(prev) < 1e-9 OR value > 200000) AS negated, round(abs(value - coalesce(prev, 0)) / 3 * 2 - 4, 4) AS mixed FROM j""")
+def report_language(spark, sf_dir):
+    rows = monthly(spark, sf_dir).withColumn("prev", F.lag("value").over(Window.partitionBy("k").orderBy("period")))
+    rows = benchmark_columns(rows, _library(spark, sf_dir), "k", ["Sales"])
+    value = Typed("number", F.col("value"))
+    report = Report({"value": value, "prev": Typed("number", F.col("prev")), "current.Sales": value}, ["Sales"])
+    texts = {
+        "logic": "value > 100000 OR prev > value AND value < 300000", "zero": "value / 0 + round(value / 7, 2)", "rise": "if(value > prev, value - prev, 0 - 1)", "pct": "benchmark_percentile(Sales, value)", "z": "benchmark_z_score('Sales', value)",
+        "above": "benchmark_above_median(Sales)", "top": "benchmark_p90(Sales)", "n": "benchmark_sample_count(Sales)", "nothing": "benchmark_p10(Other)", "negated": "NOT (prev == 0 OR value > 200000)", "mixed": "abs(value - coalesce(prev, 0)) / 3 * 2 - 4",
+    }
+    digits = {"zero": 4, "z": 7, "mixed": 4}
+    made = {n: report(t).column for n, t in texts.items()}
+    return rows.select("k", "period", *[(F.round(c, digits[n]) if n in digits else c).alias(n) for n, c in made.items()])
+
+
+@query("N02_N11_O08_fired_texts", f"""WITH {MONTHLY_SQL}, {_LIBRARY}, q AS (SELECT *, CASE WHEN value > p50 THEN 'above' ELSE 'below' END AS side, CASE WHEN abs(prev) >= 1e-15 THEN (value - prev) / prev * 100 END AS change FROM j)
+SELECT k, period, CASE WHEN value > p90 THEN 'peak' ELSE 'level' END AS template_id, 'sales' AS finding_id, CASE WHEN value > p90 THEN 1 ELSE 2 END AS priority,
+CASE WHEN value > p90 THEN k || ' peaks in ' || period ELSE k || ' is ' || side || ' its median, ' || CASE WHEN coalesce(change > 0, false) THEN 'up' ELSE 'not up' END || ', in ' || period END AS text FROM q WHERE value > p90 OR value > 1000""")
+def fired_texts(spark, sf_dir):
+    """Bindings mention each other: verdict needs direction and side, direction needs change."""
+    rows = monthly(spark, sf_dir).withColumn("prev", F.lag("value").over(Window.partitionBy("k").orderBy("period")))
+    bindings = {"verdict": "if(true, side, direction)", "direction": "if(change > 0, 'up', 'not up')", "change": "pct_change(value, prev)", "side": "if(value > benchmark_p50(Sales), 'above', 'below')"}
+    templates = [
+        {"id": "level", "finding": "sales", "priority": 2, "when": "value > 1000", "text": "{k} is {verdict} its median, {direction}, in {period}", "bindings": bindings},
+        {"id": "peak", "finding": "sales", "priority": 1, "when": "value > benchmark_p90(Sales)", "text": "{k} peaks in {period}"},
+    ]
+    return H.fire_texts(rows, templates, ["k", "period"], _library(spark, sf_dir), "k")
+
+
+@query("N04_number_text", """SELECT o_orderkey AS k, format('{:,}', floor(o_totalprice)::BIGINT) AS grouped, CASE WHEN o_custkey % 3 = 0 THEN '—' ELSE '+' || (o_custkey % 100)::VARCHAR || '.0%' END AS percent FROM orders""")
+def number_texts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    percent = F.when(F.col("o_custkey") % 3 != 0, (F.col("o_custkey") % 100) / 100.0)
+    return o.select(F.col("o_orderkey").alias("k"), H.number_text(F.floor("o_totalprice").cast("double"), ",").alias("grouped"), H.number_text(percent, "+.1%").alias("percent"))
+
+
 @query("N10_context_events", """SELECT count(*) AS n, count(*) > 0 AS has, coalesce(string_agg(event_type, '; ' ORDER BY event_type), '') AS description FROM (SELECT DISTINCT event_type FROM events)""")
 def events_context(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type").distinct().select(F.lit("2026-01").alias("period"), F.lit("promo").alias("kind"), F.col("event_type").alias("description"))
@@ -462,26 +558,27 @@ _TOKENS = "regexp_split_to_array(lower(text), '[^a-z]+')"
 
 
 @query("J13_token_match", """WITH q AS (SELECT DISTINCT p_partkey AS query_id, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS token FROM part), q2 AS (SELECT * FROM q WHERE token <> ''),
-r AS (SELECT DISTINCT p_brand AS entry_id, unnest(string_split(lower(p_type), ' ')) AS token FROM part WHERE p_partkey % 7 = 0), r2 AS (SELECT * FROM r WHERE token <> ''),
+r AS (SELECT DISTINCT p_brand AS entry_id, unnest(string_split(lower(p_type), ' ')) AS token FROM part), r2 AS (SELECT * FROM r WHERE token <> ''),
 n AS (SELECT count(DISTINCT entry_id) AS n FROM r2), df AS (SELECT token, count(*) AS df FROM r2 GROUP BY 1),
 qi AS (SELECT q2.*, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0 AS idf FROM q2 LEFT JOIN df USING (token), n), ri AS (SELECT r2.*, ln((n + 1.0) / (coalesce(df, 0) + 1.0)) + 1.0 AS idf FROM r2 LEFT JOIN df USING (token), n),
 b AS (SELECT query_id, entry_id, sum(qi.idf) AS both_ FROM qi JOIN ri USING (token) GROUP BY ALL), a AS (SELECT query_id, sum(idf) AS a FROM qi GROUP BY 1), c AS (SELECT entry_id, sum(idf) AS c FROM ri GROUP BY 1),
 s AS (SELECT query_id, entry_id, 2.0 * (both_ / a) * (both_ / c) / (both_ / a + both_ / c) AS score FROM b JOIN a USING (query_id) JOIN c USING (entry_id))
 SELECT query_id, round(max(score), 8) AS score FROM s GROUP BY 1""")
 def match(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    q = p.select(F.col("p_partkey").alias("id"), F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("token")).where("token <> ''")
-    r = p.where("p_partkey % 7 = 0").select(F.col("p_brand").alias("id"), F.explode(F.split(F.lower("p_type"), " ")).alias("token")).where("token <> ''")
-    return H.token_match(q, r).select("query_id", F.round("score", 8).alias("score"))
+    """The whole table is the registry."""
+    return H.token_match(*_part_tokens(spark, sf_dir)).select("query_id", F.round("score", 8).alias("score"))
 
 
-@query("J13_token_match_whole", ORACLES["J13_token_match"].replace(" WHERE p_partkey % 7 = 0", ""))
-def match_whole(spark, sf_dir):
-    """The whole table is the registry."""
+def _part_tokens(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     p = table(spark, sf_dir, "part")
     q = p.select(F.col("p_partkey").alias("id"), F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("token")).where("token <> ''")
-    r = p.select(F.col("p_brand").alias("id"), F.explode(F.split(F.lower("p_type"), " ")).alias("token")).where("token <> ''")
-    return H.token_match(q, r).select("query_id", F.round("score", 8).alias("score"))
+    return q, p.select(F.col("p_brand").alias("id"), F.explode(F.split(F.lower("p_type"), " ")).alias("token")).where("token <> ''")
+
+
+@query("A23_match_counts", ORACLES["J13_token_match"].replace("SELECT query_id, round(max(score), 8) AS score FROM s GROUP BY 1", """, t AS (SELECT query_id, score, lead(score) OVER w AS second, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, entry_id))
+SELECT CASE WHEN score >= 0.3 AND (second IS NULL OR score - second >= 0.05 OR score >= second * 1.2) THEN 'accepted' WHEN score >= 0.2 THEN 'review' ELSE 'rejected' END AS status, count(*) AS n FROM t WHERE r = 1 GROUP BY 1"""))
+def match_counts(spark, sf_dir):
+    return H.match_counts(H.token_match(*_part_tokens(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ writes and set operations
@@ -511,25 +608,13 @@ def last_writer(spark, sf_dir):
     return Wr.last_writer([_cells(spark, sf_dir, s) for s in ("N", "R", "A")], ["Time", "Market"])
 
 
-@query("K01_K02_write_batch", """WITH s AS (SELECT o_custkey AS k, sum(o_totalprice * 0 + 1) AS value FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
-b AS (SELECT o_custkey AS k, o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'Set' WHEN o_orderkey % 4 = 1 THEN 'Clear' ELSE 'Increment' END AS intent, (o_orderkey % 10)::DOUBLE AS v FROM orders WHERE o_orderkey % 5 = 0),
+@query("K01_K02_write_batch", """WITH s AS (SELECT c_custkey AS k, c_acctbal::DOUBLE AS value FROM customer),
+b AS (SELECT o_custkey AS k, o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'Set' WHEN o_orderkey % 4 = 1 THEN 'Clear' ELSE 'Increment' END AS intent, (o_orderkey % 10)::DOUBLE AS v FROM orders),
 m AS (SELECT *, max(seq) FILTER (intent <> 'Increment') OVER (PARTITION BY k) AS base FROM b),
 c AS (SELECT k, max(v) FILTER (intent = 'Set') AS set_, bool_or(intent = 'Clear') AS clear, bool_or(intent = 'Set') AS sets, sum(v) FILTER (intent = 'Increment') AS inc FROM m WHERE base IS NULL OR seq >= base GROUP BY k),
 j AS (SELECT k, CASE WHEN sets IS NULL THEN value WHEN sets THEN CASE WHEN inc IS NULL THEN set_ ELSE set_ + inc END WHEN clear THEN inc ELSE CASE WHEN inc IS NULL THEN value ELSE coalesce(value, 0) + inc END END AS value FROM s FULL JOIN c USING (k))
 SELECT k, value::DOUBLE AS value FROM j WHERE value IS NOT NULL""")
 def write_batch(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    store = o.where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").cast("double").alias("value"))
-    intent = F.when(F.col("o_orderkey") % 4 == 0, "Set").when(F.col("o_orderkey") % 4 == 1, "Clear").otherwise("Increment")
-    cells = o.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), intent.alias("intent"), (F.col("o_orderkey") % 10).cast("double").alias("value"))
-    return Wr.commit(store, cells, ["k"])
-
-
-_FILTERED_STORE = "SELECT o_custkey AS k, sum(o_totalprice * 0 + 1) AS value FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1"
-
-
-@query("K01_K02_write_batch_whole", ORACLES["K01_K02_write_batch"].replace(_FILTERED_STORE, "SELECT c_custkey AS k, c_acctbal::DOUBLE AS value FROM customer").replace(" WHERE o_orderkey % 5 = 0", ""))
-def write_batch_whole(spark, sf_dir):
     """All customers are the store, all orders the batch."""
     store = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").cast("double").alias("value"))
     intent = F.when(F.col("o_orderkey") % 4 == 0, "Set").when(F.col("o_orderkey") % 4 == 1, "Clear").otherwise("Increment")
@@ -607,15 +692,48 @@ def flat_replay(spark, sf_dir):
     return m.select("path", "n_bets", "wins", "losses", "pushes", F.round("final_bank", 6).alias("final_bank"), F.round("total_staked", 6).alias("total_staked"), F.round("total_pnl", 6).alias("total_pnl"), F.round("max_drawdown", 8).alias("max_drawdown"))
 
 
-@query("W18_kelly_batches")
+_KELLY = _FLAT + """ g AS (SELECT path, ts, count(*) AS n, sum(pnl)::DOUBLE AS net FROM b GROUP BY ALL),
+h AS (SELECT *, least(0.02::DOUBLE, 1.0::DOUBLE / n) AS share, 1000.0::DOUBLE * coalesce(product(1.0::DOUBLE + least(0.02::DOUBLE, 1.0::DOUBLE / n) * net) OVER (PARTITION BY path ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0::DOUBLE) AS basis FROM g),
+c AS (SELECT b.*, share * basis AS stake, basis * (1.0::DOUBLE + share * net) AS bank, row_number() OVER (PARTITION BY b.path ORDER BY b.ts, b.id) AS seq FROM b JOIN h USING (path, ts)),
+d AS (SELECT *, greatest(1000.0::DOUBLE, max(bank) OVER (PARTITION BY path ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS peak FROM c), f AS (SELECT *, (peak - bank) / peak AS drawdown FROM d),
+t AS (SELECT path, seq AS low, peak AS before FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY drawdown DESC, seq) AS r FROM f) WHERE r = 1),
+k AS (SELECT path, min(seq) AS regained FROM f JOIN t USING (path) WHERE seq >= low AND bank >= before GROUP BY 1),
+m AS (SELECT path, count(*) AS n_bets, count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (outcome = 'push') AS pushes, arg_max(bank, seq) AS final_bank, sum(stake) AS total_staked, sum(stake * pnl::DOUBLE) AS total_pnl, max(drawdown) AS deepest, avg(pnl::DOUBLE) AS mean_, stddev_samp(pnl::DOUBLE) AS sd FROM f GROUP BY 1)
+SELECT path, n_bets, wins, losses, pushes, round(final_bank, 6) AS final_bank, round(total_staked, 5) AS total_staked, round(total_pnl, 5) AS total_pnl, round((final_bank - 1000) / 1000, 8) AS roi, round(total_pnl / total_staked, 8) AS roi_per_bet,
+round(wins / (wins + losses), 8) AS win_rate, round(deepest, 8) AS max_drawdown, (CASE WHEN regained IS NOT NULL THEN regained - low END)::DOUBLE AS recovery_bets, CASE WHEN regained IS NOT NULL THEN 'recovered' ELSE 'unrecovered' END AS recovery,
+round(mean_ / sd * sqrt(n_bets), 8) AS sharpe FROM m JOIN t USING (path) LEFT JOIN k USING (path)"""
+
+
+@query("W18_kelly_batches", _KELLY)
 def kelly_replay(spark, sf_dir):
-    return R.metrics(R.replay(_records(spark, sf_dir), R.parse_sizing("quarter_kelly:cap=0.02"), 1000.0, batch=True), 1000.0)
+    """A quarter of Kelly's fraction is 0.025 at these odds, so the cap of 0.02 holds: a batch of n multiplies the bankroll by 1 + min(0.02, 1 / n) * net wins, and all its records carry the bankroll after it."""
+    m = R.metrics(R.replay(_records(spark, sf_dir), R.parse_sizing("quarter_kelly:cap=0.02"), 1000.0, batch=True), 1000.0)
+    m = m.withColumn("recovery_bets", F.col("recovery_bets").cast("double"))
+    digits = {"final_bank": 6, "total_staked": 5, "total_pnl": 5, "roi": 8, "roi_per_bet": 8, "win_rate": 8, "max_drawdown": 8, "sharpe": 8}
+    return m.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in m.columns])
+
+
+@query("X10_fixed_odds_replay", _FLAT + """ c AS (SELECT *, CASE outcome WHEN 'win' THEN 2.0 ELSE pnl END AS won FROM b)
+SELECT path, count(*) AS n_bets, (100000.0 + sum(won))::DOUBLE AS final_bank, sum(won)::DOUBLE AS total_pnl FROM c GROUP BY path""")
+def fixed_odds(spark, sf_dir):
+    records = Rec.with_odds(Rec.with_odds(_records(spark, sf_dir), "record"), "fixed:3.0")
+    m = R.metrics(R.replay(records, R.parse_sizing("flat:pct=0.00001"), 100_000.0, batch=False), 100_000.0)
+    return m.select("path", "n_bets", F.round("final_bank", 6).alias("final_bank"), F.round("total_pnl", 6).alias("total_pnl"))
+
+
+@query("X10_column_odds", """SELECT o_orderkey AS id, CASE WHEN o_totalprice / 100000.0 > 1 THEN 'placed' ELSE 'unusable_odds' END AS state FROM orders""")
+def column_odds(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100000.0).alias("price"))
+    records = Rec.with_odds(o, "column:price").select(F.pmod("id", F.lit(64)).cast("string").alias("path"), "id", F.lit("2026-01-01").cast("timestamp").alias("ts"), F.lit(0.5).alias("p"), "odds", F.lit("push").alias("outcome"), F.lit(None).cast("double").alias("hint"))
+    curve = R.replay(records, R.parse_sizing("flat:pct=0.001"), 1000.0, batch=False)
+    return curve.select("id", F.when(F.col("skipped") == "", "placed").otherwise(F.col("skipped")).alias("state"))
 
 
 @query("X09_bootstrap")
 def bootstrap(spark, sf_dir):
-    pool = _records(spark, sf_dir).where("path = 'u1' and outcome <> 'void'").orderBy("ts", "id").toPandas()
-    return R.bands(R.bootstrap(spark, pool, R.parse_sizing("flat:pct=0.01"), 200, 1000.0, seed=7), 1000.0)
+    """The pool is every record of the table that is no void, a bounded one: bootstrap() refuses more than the driver holds."""
+    pool = _records(spark, sf_dir).where("outcome <> 'void'").select("ts", "id", "p", "odds", "outcome", "hint").orderBy("ts", "id")
+    return R.bands(R.bootstrap(spark, R.bounded_pool(pool), R.parse_sizing("flat:pct=0.01"), 200, 1000.0, seed=7), 1000.0)
 
 
 @query("X11_trace", f"""WITH {LEAF_SQL}, c AS (SELECT * FROM calc WHERE scenario = 'N' AND market = 'NATION_8' AND month = (SELECT min(month) FROM calc WHERE scenario = 'N' AND market = 'NATION_8'))

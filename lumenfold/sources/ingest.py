@@ -55,6 +55,10 @@ def long_cells(df: DataFrame, dims: list[str], measure: str, value: str, known:
     return df.select(*dims, F.col(measure).alias("Measure"), number.alias("value"), reason.alias("reason"))
 
 
+#: New elements of a dimension that one import may create: elements are metadata, held by the driver.
+MOST_CREATED = 100_000
+
+
 def missing_elements(cells: DataFrame, model: Model, policy: str = "error") -> tuple[DataFrame, dict[str, list[str]]]:
     """error: rows with unknown elements get a reason; create: they are listed, to be added to their dimensions."""
     created: dict[str, list[str]] = {}
@@ -64,7 +68,10 @@ def missing_elements(cells: DataFrame, model: Model, policy: str = "error") -> t
             continue
         known = cells.sparkSession.createDataFrame([(e,) for e in d.elements], f"`{d.name}` string")
         if policy == "create":
-            created[d.name] = sorted(r[0] for r in cells.select(d.name).where(F.col(d.name).isNotNull()).distinct().join(known, d.name, "left_anti").collect())
+            new = cells.select(d.name).where(F.col(d.name).isNotNull()).distinct().join(F.broadcast(known), d.name, "left_anti").limit(MOST_CREATED + 1).collect()
+            if len(new) > MOST_CREATED:
+                raise ModelError("MC5102", f"more than {MOST_CREATED} new elements for {d.name}")
+            created[d.name] = sorted(r[0] for r in new)
         else:
             reason = F.coalesce(reason, F.when(~F.coalesce(F.col(d.name).isin(d.elements), F.lit(False)), "unknown_element"))
     return cells.withColumn("reason", reason), created

@@ -78,14 +78,19 @@ def flattened(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def sqlite(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """A local SQLite file, through the standard library, for files of driver size; use jdbc() for others."""
+#: Rows of a local database file that may pass through the driver.
+DRIVER_ROWS = 5_000_000
+
+
+def sqlite(spark: SparkSession, path: str, query: str, most: int = DRIVER_ROWS) -> DataFrame:
+    """A local SQLite file, through the standard library, for results of driver size: more than `most` rows are an error. Use jdbc() for others."""
     import sqlite3
 
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         cursor = db.execute(query)
         names = [c[0] for c in cursor.description]
-        rows = cursor.fetchall()
+        rows = cursor.fetchmany(most + 1)
+    _bounded(len(rows), most)
     kinds = []
     for i in range(len(names)):
         seen = {type(r[i]) for r in rows if r[i] is not None}
@@ -95,12 +100,19 @@ def sqlite(spark: SparkSession, path: str, query: str) -> DataFrame:
     return spark.createDataFrame(data, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
-def duckdb(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """A local DuckDB file (':memory:' for queries over files), handed over as Arrow."""
+def _bounded(rows: int, most: int) -> None:
+    if rows > most:
+        raise ModelError("MC5101", f"more than {most} rows for the driver; read them by jdbc()")
+
+
+def duckdb(spark: SparkSession, path: str, query: str, most: int = DRIVER_ROWS) -> DataFrame:
+    """A local DuckDB file (':memory:' for queries over files), handed over as Arrow; more than `most` rows are an error."""
     import duckdb as db
 
     with db.connect(path, read_only=path != ":memory:") as c:
-        return flattened(spark.createDataFrame(c.execute(query).to_arrow_table()))
+        found = c.sql(f"SELECT * FROM ({query.strip().rstrip(';')}) LIMIT {most + 1}").to_arrow_table()
+    _bounded(found.num_rows, most)
+    return flattened(spark.createDataFrame(found))
 
 
 def navigate(document: Column, path: str) -> Column:
@@ -109,20 +121,33 @@ def navigate(document: Column, path: str) -> Column:
     return F.from_json(inner, "array<string>")
 
 
+def _json_fields(text: str) -> list[tuple[str, str]]:
+    """Fields with types of an object's schema as text: OBJECT<a: BIGINT, b: OBJECT<...>>."""
+    inner = text[text.index("<") + 1 : -1] if text.startswith("OBJECT<") else ""
+    out, depth, quoted, start = [], 0, False, 0
+    for i, c in enumerate(inner + ","):
+        quoted ^= c == "`"
+        depth += 0 if quoted else (c in "<(") - (c in ">)")
+        if c == "," and not depth and not quoted:
+            part, start = inner[start:i].strip(), i + 1
+            cut = part.index("`: ") + 1 if part.startswith("`") else part.index(": ")
+            if part:
+                out.append((part[:cut].strip("`").replace("``", "`"), part[cut + 2 :]))
+    return out
+
+
 def json_documents(spark: SparkSession, documents: DataFrame, path: str, column: str = "value") -> DataFrame:
-    """Rows of the arrays at a path of JSON texts, typed by what is seen, nested values as JSON."""
+    """Rows of the arrays at a path of JSON texts, typed by all items together, nested values as JSON. Fields that any item has are columns; those of several types are text."""
     items = documents.select(F.explode(navigate(F.col(column), path)).alias("item"))
-    sample = [r["item"] for r in items.limit(INFER_ROWS).collect()]
-    if not sample:
+    seen = items.agg(F.schema_of_variant_agg(F.try_parse_json("item")), F.first("item")).first()
+    fields = dict(_json_fields(seen[0])) if seen[1] is not None else {}
+    if not fields:
         return spark.createDataFrame([], "value string")
+    order = {k: i for i, k in enumerate(json.loads(seen[1]))}  # as the first item has them, then by name
     schema = T.StructType()
-    names: dict[str, list] = {}
-    for s in sample:
-        for k, v in json.loads(s).items():
-            names.setdefault(k, []).append(v)
-    for k, vs in names.items():
-        seen = {type(v) for v in vs if v is not None}
-        schema.add(k, T.BooleanType() if seen == {bool} else T.LongType() if seen == {int} else T.DoubleType() if seen and seen <= {int, float} else T.StringType())
+    for k in sorted(fields, key=lambda k: (order.get(k, len(order)), k)):
+        kind = fields[k].partition("(")[0]
+        schema.add(k, T.BooleanType() if kind == "BOOLEAN" else T.LongType() if kind == "BIGINT" else T.DoubleType() if kind in ("DOUBLE", "FLOAT", "DECIMAL") else T.StringType())
     return items.select(F.from_json("item", schema).alias("r")).select("r.*")
 
 
@@ -200,19 +225,14 @@ def report_period(c: Column) -> Column:
 
 
 def report_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A report as long cells (category, measure, value): the most specific text column is the category, numeric columns are measures."""
+    """A report as long cells (category, measure, value): the most specific text column is the category; columns in which every value of the file is a number are measures."""
     raw = spark.read.option("header", True).option("quote", '"').csv(path)
-    head = raw.limit(INFER_ROWS).collect()
+    given = lambda c: F.nullif(F.col(f"`{c}`"), F.lit("")).isNotNull()
+    counts = raw.agg(*[F.count_if(given(c)).alias(f"n{i}") for i, c in enumerate(raw.columns)], *[F.count_if(given(c) & report_number(F.col(f"`{c}`")).isNull()).alias(f"b{i}") for i, c in enumerate(raw.columns)]).first()
+    at = {c: i for i, c in enumerate(raw.columns)}
 
     def numeric(c: str) -> bool:
-        values = [r[c] for r in head if r[c] not in (None, "")]
-        if any(w in c.lower() for w in FORCED_TEXT) or not values:
-            return False
-        try:
-            [float(v.replace(",", "").replace("%", "").replace("$", "")) for v in values]
-        except ValueError:
-            return False
-        return True
+        return not any(w in c.lower() for w in FORCED_TEXT) and counts[f"n{at[c]}"] > 0 and counts[f"b{at[c]}"] == 0
 
     measures = [c for c in raw.columns if numeric(c)]
     texts = [c for c in raw.columns if c not in measures]
