@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, word_count
 
-#: Prefix sums run within (source, bucket); buckets bound what one task sorts, whatever a source's share.
-BUCKETS = 4096
+#: Prefix sums run within ranges of about so many rows, whatever a source's share and however often an id is repeated.
+RANGE_ROWS = 500_000
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Slope of the schedule by rank of the source: weight(t) is share * (1 + slope * (2 t - 1)) over training time 0 to 1.
 SLOPES = (-0.5, 0.25, 0.75)
@@ -49,29 +49,33 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the first pass; null if nothing is taken) and repeat_position (of a second pass). A source whose target is e
     times its size goes round floor(e) times whole, and then as far as the rest reaches in an order by MD5 of the
     id; the last document reached is cut, so that a source's taken words are its target rounded down.
-    No document is taken more than twice. Null source: a source of its own, sorted last. Null text: size 0.
+    No document is taken more than twice. Null source: a source of its own, sorted last. Null text: size 0. Texts of any
+    length are counted whole; repeated rows are taken one after another; extra columns may have any names, those
+    of results are replaced; an empty table gives none.
     The result is range-sorted by position, nothing taken last, unless the caller sorts it (ordered=False); rows with
     equal keys may come in any order.
     """
     carry = docs.columns if carry is None else carry
     made = {"size", "source_size", "target", "taken", "position", "repeat_position"}
     own = [c for c in carry if c.lower() not in made and c != source_col]
-    order = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")))
+    digest = lambda c: F.unhex(F.md5(F.coalesce(c, F.lit(""))))
     # long texts are left aside until their places are known
     wide = text_col in own
     carried = F.struct(F.lit(0).alias("_"), *[docs[c] for c in own]).alias("_carry")
-    keyed = docs.select(F.monotonically_increasing_id().alias("_uid"), carried, docs[source_col].alias("_source"), word_count(docs[text_col]).alias("size"), order.alias("_order"), F.md5(F.coalesce(docs[text_col], F.lit(""))).alias("_tie"))
-    full = keyed = materialize(keyed.withColumn("_bucket", F.pmod(F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"), F.lit(BUCKETS))), "mix-sizes")
-    if wide:
-        keyed = keyed.drop("_carry")
-    bucketed = keyed.groupBy("_source", "_bucket").agg(F.sum("size").alias("_in"))
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bucketed.select("_source", "_bucket", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_start"))
-    targets = source_targets(bucketed.groupBy(F.col("_source").alias("source")).agg(F.sum("_in").alias("source_size")))
+    full = docs.select(F.monotonically_increasing_id().alias("_uid"), carried, docs[source_col].alias("_source"), word_count(docs[text_col]).alias("size"), digest(docs[id_col].cast("string")).alias("_order"), digest(docs[text_col]).alias("_tie"))
+    full = materialize(full, "mix-sizes")
+    keyed = full.drop("_carry") if wide else full
+    # ranges of (source, order): rows that repeat an id and a text are told apart by a number, so no range need be large
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-full.count() // RANGE_ROWS))
+    keyed = materialize(keyed.repartitionByRange(ranges, "_source", "_order", "_tie", "_uid").withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    sums = keyed.groupBy("_source", "_range").agg(F.sum("size").alias("_in"))
+    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_source", "_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_start"))
+    targets = source_targets(sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_in").alias("source_size")))
     starts = starts.join(targets, starts["_source"].eqNullSafe(targets["source"])).drop("source")
-    joined = keyed.alias("k").join(starts.alias("s"), (F.col("k._bucket") == F.col("s._bucket")) & F.col("k._source").eqNullSafe(F.col("s._source")))
+    joined = keyed.alias("k").join(starts.alias("s"), (F.col("k._range") == F.col("s._range")) & F.col("k._source").eqNullSafe(F.col("s._source")))
     joined = joined.select("k.*", "s._start", "s.source_size", "s.slope", "s.target")
-    inside = Window.partitionBy("_bucket", "_source").orderBy("_order", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range", "_source").orderBy("_order", "_tie", "_uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = joined.withColumn("_at", F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     words = F.floor(F.col("target")).cast("long")
     rounds = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -84,8 +88,8 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = out.withColumn("repeat_position", F.when(F.col("taken") > F.col("size"), position(demand(F.lit(1)), F.col("slope"))))
     if wide:
         out = out.join(full.select("_uid", "_carry"), "_uid")
-    out = out.select(*[F.col("_carry").getField(c).alias(c) for c in own], F.col("_source").alias(source_col), "size", "source_size", "target", "taken", "position", "repeat_position", "_order")
-    return (out.orderBy(F.col("position").asc_nulls_last(), "_order") if ordered else out).drop("_order")
+    out = out.select(*[F.col("_carry").getField(c).alias(c) for c in own], F.col("_source").alias(source_col), "size", "source_size", "target", "taken", "position", "repeat_position", "_order", "_uid")
+    return (out.orderBy(F.col("position").asc_nulls_last(), "_order", "_uid") if ordered else out).drop("_order", "_uid")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
