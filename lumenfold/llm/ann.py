@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import hashed_sample, materialize, ship
 from .vectors import matrix, usable_vectors
 
 DEGREE, BUILD_BEAM, ALPHA = 32, 64, 1.2
@@ -236,9 +236,10 @@ def graph_neighbours(embeddings: DataFrame, queries: DataFrame | None = None, id
         asked = usable_vectors(queries, id_col, vector_col)
     asked = asked.select(F.col("id").alias("query_id"), "vec")
     # SAMPLE rows at most
-    sample = matrix(pa.array([r["vec"] for r in asked.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE).select("vec").collect()], pa.list_(pa.float64())))
+    n_asked = asked.count()
+    sample = matrix(pa.array([r["vec"] for r in hashed_sample(asked, "query_id", SAMPLE, n_asked).select("vec").collect()], pa.list_(pa.float64())))
     index = materialize(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_index(sample, k + 1), "shard int, node int, id bigint, vec array<double>, edges array<int>, beam int"), "graph")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = max(1, -(-n_asked // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block")
     right = asked.select("query_id", "vec", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).groupBy("shard", "block")

@@ -79,5 +79,14 @@ def utf8_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def hashed_sample(rows: DataFrame, key: str, most: int, count: int | None = None) -> DataFrame:
+    """`most` rows at most, those with the smallest hashes of the key. About twice as many reach one task, however many partitions there are."""
+    count = rows.count() if count is None else count
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 62))
+    if count > 2 * most + 100:
+        rows = rows.where(h < int((1 << 62) * ((2 * most + 100) / count)))
+    return rows.orderBy(h, key).limit(most)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

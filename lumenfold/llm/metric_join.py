@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import hashed_sample, materialize, ship
 from .components import connected_components
 from .vectors import matrix, usable_vectors
 
@@ -168,7 +168,7 @@ def cosine_components(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
         return embeddings.select(embeddings[id_col].alias("id"), F.lit(0).cast("long").alias("n_links"), F.coalesce(embeddings[id_col], none).alias("component_id"))
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     # SAMPLE rows at most
-    sample = _unit(matrix(pa.array([r["vec"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()], pa.list_(pa.float64()))))
+    sample = _unit(matrix(pa.array([r["vec"] for r in hashed_sample(classes, "id", SAMPLE, n).select("vec").collect()], pa.list_(pa.float64()))))
     pivots = choose_pivots(sample, n, reach)
     block = max(1024, BLOCK_BYTES // (8 * pivots.shape[1]))
     placed = materialize(classes.repartition(max(1, n // 8192)).mapInArrow(_assign(pivots, reach), "id bigint, vec array<double>, weight bigint, home int, cells array<int>"), "cells")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import hashed_sample, materialize, ship
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled rows whose texts induce the lexicons and train the classifier, at most.
@@ -101,8 +101,9 @@ def telling(toxic: int, clean: int, prior: float, least: int) -> bool:
 
 def distinct_texts(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic, copies): labelled texts once each, toxic if most of their rows are; `sample` of them at most, picked by hash."""
-    texts = rows.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), F.count("*").alias("copies"))
-    return materialize(texts.orderBy(F.xxhash64("text"), "text").limit(sample), "texts")
+    texts = materialize(rows.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), F.count("*").alias("copies")), "texts")
+    count = texts.count()
+    return texts if count <= sample else materialize(hashed_sample(texts, "text", sample, count), "texts")
 
 
 def induce_terms(rows: DataFrame) -> list[str]:
@@ -393,7 +394,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     marked = labels.select(labels[id_col].cast(kind).alias("id"), labels[label_col].alias("toxic"))
     marked = marked.where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out(F.col("id")) if training is None else training)
     # `sample` rows at most, so they can be broadcast
-    chosen = F.broadcast(marked.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample))
+    chosen = F.broadcast(hashed_sample(marked.groupBy("id").agg(F.max("toxic").cast("int").alias("toxic")), "id", sample))
     texts = distinct_texts(named.join(chosen, "id").select("text", "toxic"), sample)
     terms, among = induced(texts)
     if not terms:
