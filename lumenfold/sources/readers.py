@@ -42,13 +42,13 @@ def strict_csv(spark: SparkSession, path: str, columns: list[str], types: Mappin
     first = spark.read.text(path).limit(1).collect()
     head = first[0]["value"] if first else ""
     if head.startswith("﻿"):
-        raise ModelError("MC2012", "the file begins with a byte order mark")
+        raise ModelError("MC2024", "the file begins with a byte order mark")
     if head.split(",") != columns:
-        raise ModelError("MC2013", f"the header is {head!r}, not {','.join(columns)!r}")
+        raise ModelError("MC2024", f"the header is {head!r}, not {','.join(columns)!r}")
     schema = ", ".join(f"`{c}` {(types or {}).get(c, 'string')}" for c in columns)
     lines = spark.read.text(path)
     if lines.where(F.col("value").contains('"')).limit(1).count():
-        raise ModelError("MC2014", "quotes are not accepted")
+        raise ModelError("MC2023", "quotes are not accepted")
     return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST", enforceSchema=False)
 
 
