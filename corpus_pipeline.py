@@ -1,12 +1,17 @@
-"""A training corpus from documents: toxic ones go, one of each near-duplicate group stays, sources are mixed, the mix is packed."""
+"""A training corpus from documents: toxic ones go, one of each near-duplicate group stays, sources are mixed, the mix is packed.
 
-from __future__ import annotations
+Stages take and return the columns of documents, extra ones of any name included; packing returns its pieces. Null ids:
+judged by their texts, no near duplicate of any row, mixed and packed. Null, empty and blank texts: not toxic without
+evidence, no near duplicates, of size 0 and so not taken by the mix. Null sources are one source. Repeated rows: all
+are judged, one stays of those whose texts link. Ties go to the smallest id. Texts of any length are read whole; the mix
+cuts the last one that a source's target reaches. Empty table: empty result. Labels that tell nothing: nothing goes as toxic.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfold.llm.common import work_dir
+from lumenfold.llm.common import discard, materialize
 from lumenfold.llm.curriculum import mixed_documents
 from lumenfold.llm.minhash import without_near_duplicates
 from lumenfold.llm.packing import pack_documents
@@ -40,10 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again as the next one's input."""
+    """All stages over documents, each written to the shared folder and read again as the next one's input; what the stage before wrote is then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{work_dir(spark)}/stage-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
