@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, materialize, ship
+from .common import discard, hashed_sample, materialize, ship
 from .components import connected_components
 from .vectors import matrix, usable_vectors
 
@@ -183,6 +183,7 @@ def cosine_components(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
     right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("hs") - 1)).alias("hb"), F.pmod(own, F.col("ms")).cast("int").alias("mb"))
     columns = ["cell", "hb", "mb", "id", "vec", "weight", "is_home"]
     found = materialize(left.select(columns).unionByName(right.select(columns)).groupBy("cell", "hb", "mb").applyInArrow(_compare(threshold), "u bigint, v bigint, n bigint"), "near")
+    discard(placed)
     counts = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     parts = connected_components(found.where("v is not null").select("u", "v"))
     summary = classes.select("id", "vec", "weight").join(counts, classes["id"] == counts["rep"], "left").join(parts, classes["id"] == parts["node"], "left")

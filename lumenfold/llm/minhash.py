@@ -317,7 +317,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = materialize(salted.join(several, ["print", "salt"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), "classes")
     shared = sketches.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     shared = materialize(shared.where("first <> last").select("key", "first"), "bands")
-    links = member
+    links, done = member, [sketches, member, shared]
     if count := shared.count():
         few = build(shared.select("key"), count)
         banded = materialize(sketches.select("id", "n", "keys").mapInArrow(_shared_keys(few), f"id {kind}, n bigint, key bigint").join(shared, "key"), "banded")
@@ -329,17 +329,25 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         apart = banded.where("id <> first").join(parts, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("part")).dropDuplicates(["key", "id"])
         mixed = apart.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("m")).where("a <> b").select("key", "m")
         apart = materialize(apart.join(mixed, "key"), "apart")
+        done += [banded, found, parts, apart]
         links = links.unionByName(found)
         if apart.limit(1).count():
             x, y = apart.where(F.col("m") <= CROWD).alias("x"), apart.where(F.col("m") <= CROWD).alias("y")
             more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & _similar_size(F.col("x.n"), F.col("y.n"), numerator, denominator))
             more = more.select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
             crowded = materialize(apart.where(F.col("m") > CROWD).select("id", "part").distinct(), "crowded")
+            done.append(crowded)
             if crowded.limit(1).count():
-                more = more.unionByName(verify.crowd(crowded))
-            links = links.unionByName(verify(more))
+                met = verify.crowd(crowded)
+                done.append(met)
+                more = more.unionByName(met)
+            extra = verify(more)
+            done.append(extra)
+            links = links.unionByName(extra)
     # ids of a class link with its representative; one pass gives the components of all rows
     groups = connected_components(links)
+    for t in done:
+        discard(t)
     return table.select("id", F.col("n").alias("n_shingles")).join(groups, table["id"] == groups["node"], "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, build
-from .common import materialize, ship
+from .common import discard, materialize, ship
 
 NAME = re.compile(r"[a-zA-Z][^\s>/]*")
 #: The rest of a tag. Nothing is tried twice, and after one failure not again in a page.
@@ -316,8 +316,8 @@ def _touched(few: Bloom, inside: bool):
     return run
 
 
-def importances(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The tree of (node, key, first, kids, path) rows: (node, composite, noise) of its elements, and (node, print, times, pages) of their texts.
+def importances(seen: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The tree of (node, key, first, kids, path) rows: (node, composite, noise) of its elements, and (node, print, times, pages) of their texts; and the tables that both read.
 
     An element's node importance is the entropy of its styles, each weighed by the pages that have it, to the base of the
     element's pages; that of a text node is one less the mean entropy of its texts' spread over its pages; on a single
@@ -350,7 +350,7 @@ def importances(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = composite.join(within, "node").select("node", "composite", (F.col("most") < LEAST_IMPORTANCE).alias("noise"))
     texts = counted.where("kids is null").select(F.col("node").alias("n"), F.col("key").alias("print"), F.col("c").alias("times"))
     texts = texts.join(tree.where("is_text").select(F.col("node").alias("n"), F.col("parent").alias("node"), F.col("m").alias("pages")), "n").select("node", "print", "times", "pages")
-    return judged, texts
+    return judged, texts, [counted, tree, composite]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -373,14 +373,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     raw = pages.select(F.monotonically_increasing_id().alias("uid"), pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     schema = f"uid bigint, id {kind}, url string, blocks array<struct<text:string,print:bigint,node:bigint,inside:boolean>>, seen {SEEN_TYPE}"
     parsed = materialize(raw.mapInArrow(_parsed, schema), "dom")
-    judged, texts = importances(parsed.select(F.explode("seen").alias("s")).select("s.*"))
+    judged, texts, read = importances(parsed.select(F.explode("seen").alias("s")).select("s.*"))
     weak = materialize(judged.where("noise").select("node"), "weak")
     repeated = materialize(texts.where((F.col("times") >= REPEATED * F.col("pages")) & (F.col("times") >= 2)).select("node", "print"), "repeated")
+    for t in read:
+        discard(t)
 
     at = parsed.select("uid", F.posexplode("blocks").alias("i", "b")).select("uid", "i", "b.print", "b.node", "b.inside")
     by_branch = at.join(weak, "node", "left_semi").select("uid", "i", F.lit(True).alias("branch"))
     by_text = at.where("not inside").join(repeated, ["node", "print"], "left_semi").select("uid", "i", F.lit(False).alias("branch"))
     removed = materialize(by_branch.unionByName(by_text).groupBy("uid").agg(F.collect_set(F.when(F.col("branch"), F.col("i"))).alias("branch"), F.collect_set(F.when(~F.col("branch"), F.col("i"))).alias("same")), "removed")
+    discard(weak), discard(repeated)
 
     # pages that lose nothing aren't shuffled
     few = build(removed.select("uid"), removed.count())

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, materialize, ship
+from .common import discard, hashed_sample, materialize, ship
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled rows whose texts induce the lexicons and train the classifier, at most.
@@ -124,11 +124,13 @@ def induced(rows: DataFrame) -> tuple[list[str], int]:
     texts = rows if "copies" in rows.columns else distinct_texts(rows)
     counted = materialize(texts.select("text", "toxic", "copies").mapInArrow(_term_counts(), "term string, clean bigint, toxic bigint, repeats bigint").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "repeats")]), "terms")
     share = texts.agg(F.avg("toxic")).first()
+    among = counted.where(F.length("term") == FAMILY + 1).where(F.col("term").endswith("*")).count()
     prior = min(0.5, max(1e-3, share[0] or 1e-3))
     size = counted.count()
     least = max(3, int(np.ceil(np.log(max(size, 2)) / -np.log(prior))) - 3)
     evident = lambda toxic, clean: toxic >= least and telling(toxic, clean, prior, least)
     found = counted.where(F.col("toxic") + F.col("repeats") >= least).where(F.col("toxic") + F.col("repeats") > F.col("clean")).orderBy(F.desc("toxic"), F.desc("repeats"), "term").collect()
+    discard(counted)
     # a term that only rows of copies speak for is there for texts which have no other
     rows = [r for r in found if evident(r["toxic"] + r["repeats"], r["clean"])]
     terms = [r["term"] for r in rows]
@@ -166,7 +168,7 @@ def induced(rows: DataFrame) -> tuple[list[str], int]:
         if copies >= least and not keep[own].any():
             best = min(own, key=lambda t: (-rows[t]["toxic"] - rows[t]["repeats"] + rows[t]["clean"], terms[t]))
             keep[best] = True
-    return [terms[i] for i in np.flatnonzero(keep)][:TERMS], counted.where(F.length("term") == FAMILY + 1).where(F.col("term").endswith("*")).count()
+    return [terms[i] for i in np.flatnonzero(keep)][:TERMS], among
 
 
 def _evidence(terms: list[str], keep: bool = False):
@@ -402,6 +404,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     # `sample` rows at most
     learnt = texts.select("toxic", "text").mapInArrow(_evidence(terms), f"toxic int, {EVIDENCE_SCHEMA}").toPandas()
     evidence = [(list(map(int, f)), list(map(int, c)), int(w), list(map(int, m))) for f, c, w, m in learnt[list(EVIDENCE)].itertuples(index=False)]
+    discard(texts)
     toxic = learnt["toxic"].to_numpy()
     cuts = family_cuts(evidence, toxic, len(families(terms)), among)
     if np.isinf(cuts).all():
