@@ -163,12 +163,8 @@ def fire(rows: DataFrame, templates: list[dict], keys: Iterable[str]) -> DataFra
     return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def fire_texts(rows: DataFrame, templates: list[dict], keys: Iterable[str], library: DataFrame | None = None, scope: str | None = None) -> DataFrame:
-    """fire() with conditions and bindings written in the language of report texts, over the rows' columns.
-
-    A template: id, finding, priority, when, text, and bindings, named expressions that the text and each other
-    mention. Numbers in a text may have a format. Benchmarks come from the library for each row's scope.
-    """
+def _compiled(rows: DataFrame, templates: list[dict], library: DataFrame | None, scope: str | None) -> tuple[DataFrame, list[dict]]:
+    """The rows, with the benchmarks that templates look up, and the templates with columns for their conditions and values."""
     texts = [e for t in templates for e in (t["when"], *t.get("bindings", {}).values())]
     metrics = sorted(mentioned(texts)) if library is not None else []
     if metrics:
@@ -179,7 +175,37 @@ def fire_texts(rows: DataFrame, templates: list[dict], keys: Iterable[str], libr
     for t in templates:
         bound = report.bound(t.get("bindings", {}))
         made.append({**t, "when": report(t["when"]).truth, "values": {n: v.column for n, v in bound.columns.items()}})
-    return fire(rows, made, keys)
+    return rows, made
+
+
+def fire_texts(rows: DataFrame, templates: list[dict], keys: Iterable[str], library: DataFrame | None = None, scope: str | None = None) -> DataFrame:
+    """fire() with conditions and bindings written in the language of report texts, over the rows' columns.
+
+    A template: id, finding, priority, when, text, and bindings, named expressions that the text and each other
+    mention. Numbers in a text may have a format. Benchmarks come from the library for each row's scope.
+    """
+    return fire(*_compiled(rows, templates, library, scope), keys)
+
+
+def explained(rows: DataFrame, templates: list[dict], keys: Iterable[str], library: DataFrame | None = None, scope: str | None = None) -> DataFrame:
+    """Chains of explanations: of each finding's templates, in order of priority, the first whose condition holds, with those rejected before it and those skipped after it.
+
+    A finding is one chain of conditions in a projection, so nothing is shuffled. A row gives a line for each finding that has an explanation.
+    """
+    keys = list(keys)
+    rows, made = _compiled(rows, templates, library, scope)
+    groups: dict[str, list[dict]] = {}
+    for t in sorted(made, key=lambda t: (t["priority"], t["id"])):
+        groups.setdefault(t["finding"], []).append(t)
+    ids = lambda ts: F.array(*[F.lit(t["id"]) for t in ts]).cast("array<string>")
+    chains = []
+    for finding, group in sorted(groups.items()):
+        chain = F.when(F.lit(False), F.lit(None))
+        for i, t in enumerate(group):
+            made_ = F.struct(F.lit(finding).alias("finding_id"), F.lit(t["id"]).alias("template_id"), fill(t["text"], t["values"]).alias("text"), ids(group[:i]).alias("rejected"), ids(group[i + 1 :]).alias("skipped"))
+            chain = chain.when(t["when"], made_)
+        chains.append(chain)
+    return rows.select(*keys, F.explode(F.filter(F.array(*chains), lambda x: x.isNotNull())).alias("x")).select(*keys, "x.*")
 
 
 def context_events(events: DataFrame, period: str, kind: str | None = None, lookback: int = 1) -> DataFrame:

@@ -96,6 +96,14 @@ def on_error(cells: DataFrame, how: str, quarantine: str | None = None) -> DataF
     return cells.where("reason is null").drop("reason")
 
 
+def log_writes(cells: DataFrame, path: str, principal: str = "root") -> str:
+    """Adds a batch to a log of writes: its cells as JSON lines, each with the batch's id, when, and by whom. Nothing there is changed."""
+    name = uuid.uuid4().hex
+    at = datetime.now(timezone.utc).isoformat()
+    cells.select(F.lit(name).alias("write_id"), F.lit(at).alias("at"), F.lit(principal).alias("principal"), *cells.columns).write.mode("append").json(path)
+    return name
+
+
 class Imports:
     """Versioned imports in a folder: cells as Parquet, an audit that is only added to, and active flags derived from it."""
 

@@ -541,6 +541,21 @@ def fired_texts(spark, sf_dir):
     return H.fire_texts(rows, templates, ["k", "period"], _library(spark, sf_dir), "k")
 
 
+@query("N12_explanations", f"""WITH {MONTHLY_SQL}, p AS (SELECT *, lag(value) OVER (PARTITION BY k ORDER BY period) AS prev FROM mon),
+q AS (SELECT *, CASE WHEN prev IS NULL THEN 1 WHEN value < prev AND value < 100000 THEN 2 WHEN value < prev THEN 3 WHEN value > prev * 2 THEN 4 END AS n FROM p)
+SELECT k, period, CASE WHEN n = 4 THEN 'rise' ELSE 'fall' END AS finding_id, CASE n WHEN 1 THEN 'first' WHEN 2 THEN 'small' WHEN 3 THEN 'less' ELSE 'twice' END AS template_id,
+k || CASE n WHEN 1 THEN ' begins' WHEN 2 THEN ' fell, from little' WHEN 3 THEN ' fell' ELSE ' more than doubled' END AS text,
+CASE n WHEN 2 THEN 'first' WHEN 3 THEN 'first,small' ELSE '' END AS rejected, CASE n WHEN 1 THEN 'small,less' WHEN 2 THEN 'less' ELSE '' END AS skipped FROM q WHERE n IS NOT NULL""")
+def explanations(spark, sf_dir):
+    rows = monthly(spark, sf_dir).withColumn("prev", F.lag("value").over(Window.partitionBy("k").orderBy("period"))).withColumn("begins", F.col("prev").isNull())
+    templates = [
+        {"id": "less", "finding": "fall", "priority": 3, "when": "value < prev", "text": "{k} fell"}, {"id": "first", "finding": "fall", "priority": 1, "when": "begins", "text": "{k} begins"},
+        {"id": "small", "finding": "fall", "priority": 2, "when": "value < prev AND value < 100000", "text": "{k} fell, from little"}, {"id": "twice", "finding": "rise", "priority": 1, "when": "value > prev * 2", "text": "{k} more than doubled"},
+    ]
+    out = H.explained(rows, templates, ["k", "period"])
+    return out.withColumn("rejected", F.array_join("rejected", ",")).withColumn("skipped", F.array_join("skipped", ","))
+
+
 @query("N04_number_text", """SELECT o_orderkey AS k, format('{:,}', floor(o_totalprice)::BIGINT) AS grouped, CASE WHEN o_custkey % 3 = 0 THEN '—' ELSE '+' || (o_custkey % 100)::VARCHAR || '.0%' END AS percent FROM orders""")
 def number_texts(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -24,7 +24,7 @@ def upsert_stream(stream: DataFrame, target: str, keys: Iterable[str], checkpoin
     """Writes a stream of cells into versioned Parquet folders, one for each micro-batch, until the source is read.
 
     A batch that is run again after a failure writes the folder of its number again, from that of the one before, so a
-    batch counts once.
+    batch counts once. Folders before that one are deleted.
     """
     keys = list(keys)
 
@@ -34,6 +34,9 @@ def upsert_stream(stream: DataFrame, target: str, keys: Iterable[str], checkpoin
         before = spark.read.schema(schema).parquet(f"{target}/v={number - 1}") if number else spark.createDataFrame([], schema)
         latest = batch.groupBy(*keys).agg(F.max_by(value, F.struct("ts", "seq")).alias(value)) if {"ts", "seq"} <= set(batch.columns) else batch.select(*keys, value).dropDuplicates(keys)
         dispose(before, latest, keys, disposition, value).write.mode("overwrite").parquet(f"{target}/v={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

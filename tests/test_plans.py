@@ -114,3 +114,12 @@ def test_anchor_override(spark, sf_dir):
     assert cube.at("1997-01").scope.anchor == 24 and cube.model.anchor == "1998-06"
     with pytest.raises(ModelError):
         cube.at("1901-01")
+
+
+def test_writes_are_logged(spark, tmp_path):
+    from lumenfold.operators.writes import log_writes
+
+    cells = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, value double")
+    ids = [log_writes(cells, str(tmp_path / "log"), who) for who in ("ann", "bob")]
+    rows = spark.read.json(str(tmp_path / "log")).collect()
+    assert len(rows) == 4 and {(r["write_id"], r["principal"]) for r in rows} == set(zip(ids, ("ann", "bob"), strict=True))
