@@ -175,7 +175,7 @@ class Compiler:
     def _over(self, m, dim, make) -> Column:
         name = self.text(dim)
         if name not in self.scope.dims:
-            raise FormulaError("MC1022", f"unknown dimension {name}")
+            raise FormulaError("MC1016", f"unknown dimension {name}")
         value = self.measure(m)
         if name in self.scope.leaves:  # elements outside of the hierarchy are no leaves
             value = self.bind(F.when(F.col(name).isin(self.scope.leaves[name]), value))

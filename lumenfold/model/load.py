@@ -37,7 +37,7 @@ def from_tree(tree: dict) -> Model:
     dimensions = []
     for d in tree.get("dimensions", []):
         elements = d.get("elements") or []
-        dim = Dimension(d["name"], [e["name"] for e in elements], d.get("kind", "Standard"))
+        dim = Dimension(d["name"], [e["name"] for e in elements], d.get("kind", "Standard"), granularity=d.get("granularity"))
         for e in elements:
             if e.get("scenario_meta"):
                 dim.scenario_meta[e["name"]] = e["scenario_meta"]

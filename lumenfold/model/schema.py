@@ -59,6 +59,7 @@ class Dimension:
     scenario_meta: dict[str, str] = field(default_factory=dict)
     version_state: dict[str, str] = field(default_factory=dict)
     time_meta: dict[str, dict] = field(default_factory=dict)
+    granularity: str | None = None
 
     @property
     def hierarchy(self) -> Hierarchy | None:

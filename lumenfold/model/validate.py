@@ -10,6 +10,8 @@ from .schema import Model
 
 TIME_FUNCTIONS = frozenset("prev lag cumulative rolling_avg extrapolate_last_value period_index is_past is_current is_future periods_since_anchor periods_to_end anchor_index".split())
 ANCHORED = frozenset("is_past is_current is_future periods_since_anchor anchor_index".split())
+#: Days that a period of a granularity may last.
+GRANULARITIES = {"day": (1, 1), "week": (7, 7), "month": (28, 31), "quarter": (89, 92), "year": (365, 366)}
 SCOPES = ("AllLeaves", "FutureLeaves", "PastLeaves", "CurrentLeaf")
 
 
@@ -60,9 +62,13 @@ def validate(model: Model) -> list[tuple[str, str]]:
             say("MC2011", f"weighted average {m.name} has no known weight")
         if m.role == "Indicator":
             if m.name in targets:
-                say("MC2064", f"indicator {m.name} has a rule")
-            if not m.indicator or m.indicator[0] not in dims or m.indicator[1] not in dims[m.indicator[0]].elements:
-                say("MC2063", f"indicator {m.name} needs a known dimension and element")
+                say("MC2063", f"indicator {m.name} has a rule")
+            if not m.indicator:
+                say("MC2064", f"indicator {m.name} needs a dimension and an element")
+            elif m.indicator[0] not in dims:
+                say("MC1023", f"indicator {m.name} names the unknown dimension {m.indicator[0]}")
+            elif m.indicator[1] not in dims[m.indicator[0]].elements:
+                say("MC1022", f"{m.indicator[0]} has no element {m.indicator[1]}")
     reads: dict[str, set[str]] = {}
     for r in model.rules:
         if r.scope not in SCOPES:
@@ -111,18 +117,24 @@ def _calls(model: Model, rule, tree, say) -> None:
         if n in ANCHORED and model.anchor is None:
             say("MC1017", f"{n} needs a time anchor")
         if n in f.OVER and text(a[1]) not in dims:
-            say("MC1022", f"{n} names the unknown dimension {text(a[1])}")
+            say("MC1016", f"{n} names the unknown dimension {text(a[1])}")
+        if n in f.OVER:
+            for x in (a[0], *a[2:]):
+                if isinstance(x, f.Name) and x.name not in {m.name for m in model.measures}:
+                    say("MC1018", f"{n} names the unknown measure {x.name}")
         if n in ("current_element", "is_element") and text(a[0]) not in dims:
-            say("MC1016", f"{n} names the unknown dimension {text(a[0])}")
+            say("MC1023", f"{n} names the unknown dimension {text(a[0])}")
         if n == "is_element" and text(a[0]) in dims and text(a[1]) not in dims[text(a[0])].elements:
-            say("MC1018", f"{text(a[0])} has no element {text(a[1])}")
+            say("MC1022", f"{text(a[0])} has no element {text(a[1])}")
+        if n == "actual_ref" and len(a) > 1 and (isinstance(a[1], f.Text) or (isinstance(a[1], f.Call) and a[1].name == "current_element")):
+            say("MC2066", f"the fallback of actual_ref in {rule.target} is text")
         if n == "actual_ref" and model.default_scenario() is None:
             say("MC2037", "actual_ref needs a default scenario")
         if n == "scenario_ref" and (model.scenario is None or text(a[1]) not in model.scenario.elements):
             say("MC2065", f"unknown scenario {text(a[1])}")
         if n == "extrapolate_last_value" and rule.scope not in ("FutureLeaves",):
             say("MC2067", f"extrapolate_last_value in {rule.target} needs the scope FutureLeaves")
-        known = {"lookup": (refs.lookups, "MC2039"), "benchmark": (refs.benchmarks, "MC2038"), "param": (refs.parameters, "MC2061"), "predict": (refs.models, "MC2053")}
+        known = {"lookup": (refs.lookups, "MC2039"), "benchmark": (refs.benchmarks, "MC2038"), "param": (refs.parameters, "MC2062"), "predict": (refs.models, "MC2053")}
         if n in known and text(a[0]) not in known[n][0] and text(a[0]) not in refs.frames:
             say(known[n][1], f"{n} names the unknown {text(a[0])}")
         if n == "bucket" and text(a[1]) not in refs.thresholds:
@@ -144,12 +156,25 @@ def _references(model: Model, say) -> None:
     refs = model.refs
     for name, bands in refs.thresholds.items():
         tops = [b for b in bands if b is not None]
-        if len(bands) < 2 or bands[-1] is not None or tops != sorted(set(tops)) or len(tops) != len(bands) - 1:
-            say("MC2041", f"threshold {name} needs two ascending bands or more, the last without an end")
-    elements = {e for d in model.dimensions for e in d.elements} | {m.name for m in model.measures}
+        if len(bands) < 2 or tops != sorted(set(tops)) or None in bands[:-1]:
+            say("MC2041", f"threshold {name} needs two ascending bands or more")
+        if bands and bands[-1] is not None:
+            say("MC2042", f"the last band of threshold {name} has an end")
+    tables = [*refs.benchmarks, *refs.lookups, *refs.thresholds]
+    for n in sorted(_twice(tables)):
+        say("MC2037", f"reference table {n} is declared twice")
+    elements, names = {e for d in model.dimensions for e in d.elements}, {m.name for m in model.measures}
     for p in refs.parameters:
+        if p in names:
+            say("MC2060", f"parameter {p} has the name of a measure")
         if p in elements:
-            say("MC2060", f"parameter {p} has the name of a measure or element")
+            say("MC2061", f"parameter {p} has the name of an element")
+    for name, table in refs.lookups.items():
+        sizes = {k.count("|") for k in table}
+        if len(sizes) > 1:
+            say("MC2052", f"keys of lookup table {name} have different numbers of parts")
+        if sizes - {0} and any("|" in e for e in elements):
+            say("MC2051", f"lookup table {name} has keys of several parts, and elements hold their separator")
     for name, m in refs.models.items():
         low, high = m.get("bound", (None, None))
         if low is not None and high is not None and low >= high:
@@ -179,13 +204,20 @@ def _time(model: Model, say) -> None:
     spans = []
     for e in time.elements:
         meta = time.time_meta.get(e, {})
+        for k in ("period_start", "period_end_exclusive"):
+            if "T" in str(meta.get(k, "")) and not str(meta[k]).endswith("Z"):
+                say("MC2044", f"{k} of {e} is no time of UTC")
         try:
             if "period_start" in meta:
-                spans.append((date.fromisoformat(str(meta["period_start"])), date.fromisoformat(str(meta["period_end_exclusive"])), e))
+                spans.append((date.fromisoformat(str(meta["period_start"])[:10]), date.fromisoformat(str(meta["period_end_exclusive"])[:10]), e))
             elif "date" in meta:
                 date.fromisoformat(str(meta["date"]))
         except (ValueError, KeyError):
             say("MC2043", f"the dates of {e} are not ISO dates")
+    least, most = GRANULARITIES.get(time.granularity or "", (0, 10**9))
+    for start, end, e in spans:
+        if not least <= (end - start).days <= most:
+            say("MC2045", f"{e} lasts {(end - start).days} days, no {time.granularity}")
     leaves = set(time.leaves())
     spans = sorted(s for s in spans if s[2] in leaves)
     for (_, end, e), (start, _, nxt) in zip(spans, spans[1:], strict=False):

@@ -5,6 +5,7 @@ import pytest
 from lumenfold.model.lint import lint
 from lumenfold.model.recipes import parse_recipe, validate_recipe
 from lumenfold.model.schema import Dimension, Hierarchy, Measure, Model, ModelError, Rule
+from lumenfold.model.validate import validate
 from lumenfold.sources import inputs
 
 
@@ -74,3 +75,24 @@ def test_lints(model):
     model.rules += [Rule("D0", "Spare + Win_Rate"), *[Rule(f"D{i}", f"D{i - 1} * 2") for i in range(1, 6)]]
     more = {(c, p) for c, _, p, _ in lint(model)}
     assert {("MC3011", "hierarchies.default"), ("MC3006", "rules.D5"), ("MC3010", "measures.D5")} <= more and ("MC3006", "rules.D2") not in more
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    ("sum_over(Spend, Nowhere)", "MC1016"), ("avg_over(Nope, Market)", "MC1018"), ("is_element(Nowhere, \"East\")", "MC1023"), ("is_element(Market, \"Mars\")", "MC1022"), ("if(current_element(Nowhere) == \"x\", 1, 0)", "MC1023"), ("param(\"none\")", "MC2062"), ("actual_ref(Spend, \"text\")", "MC2066"),
+])
+def test_codes_of_rules(model, body, want):
+    model.rules.append(Rule("Win_Rate", body))
+    assert want in {c for c, _ in validate(model)}
+
+
+def test_codes_of_references_and_times(model):
+    model.refs.parameters.update({"Spend": 1.0, "East": 2.0})
+    model.refs.thresholds.update({"open": [1.0, 2.0], "down": [2.0, 1.0, None]})
+    model.refs.lookups.update({"a": {"x|y": 1.0, "x": 2.0}, "open": {"x": 1.0}})
+    model.measures += [Measure("I", "Indicator", indicator=("Nowhere", "x")), Measure("J", "Indicator", indicator=("Market", "x")), Measure("K", "Indicator")]
+    time = model.dimension("Time")
+    time.granularity = "month"
+    time.time_meta = {"2026-01": {"period_start": "2026-01-01T00:00:00", "period_end_exclusive": "2026-02-01T00:00:00Z"}, "2026-02": {"period_start": "2026-02-01", "period_end_exclusive": "2026-02-15"}}
+    codes = [c for c, _ in validate(model)]
+    for code in ("MC2060", "MC2061", "MC2042", "MC2041", "MC2052", "MC2037", "MC1023", "MC1022", "MC2064", "MC2044", "MC2045"):
+        assert codes.count(code) == 1, code
