@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, build
 from .common import discard, hashed_sample, materialize, ship
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -171,10 +172,10 @@ def induced(rows: DataFrame) -> tuple[list[str], int]:
     return [terms[i] for i in np.flatnonzero(keep)][:TERMS], among
 
 
-def _evidence(terms: list[str], keep: bool = False):
+def _evidence(terms: list[str]):
     """Each text's families with counts of words, its number of words and its marks: words of evidence within 20 words of the last one, those with a word of address within three words, and exclamation marks.
 
-    Batches are (id, text), or with `keep` any columns of which the last is the text again; the columns before are kept.
+    Batches are (id, text); the id is kept.
     """
     names = families(terms)
     known, family = set(terms), {f: i for i, f in enumerate(names)}
@@ -183,7 +184,7 @@ def _evidence(terms: list[str], keep: bool = False):
         cache: dict[str, int] = {}
         for batch in batches:
             rows, counts, sizes, marks = [], [], [], []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch.column(1):
                 text = text.as_py() or ""
                 words = WORDS.findall(text.lower())
                 found: Counter = Counter()
@@ -203,8 +204,7 @@ def _evidence(terms: list[str], keep: bool = False):
                 keys = sorted(found)
                 rows.append(keys), counts.append([found[k] for k in keys]), sizes.append(len(words)), marks.append([near, addressed, text.count("!")])
             made = [pa.array(rows, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int32()))]
-            kept = batch.columns[:-1] if keep else [batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*kept, *made], [*batch.schema.names[: len(kept)], *EVIDENCE])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], [batch.schema.names[0], *EVIDENCE])
 
     return run
 
@@ -379,8 +379,8 @@ class ToxicityModel:
         return np.concatenate(out) if out else np.empty(0)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, training: Column | None = None, keep: list[str] | None = None) -> tuple[ToxicityModel, DataFrame | None]:
-    """The model, and the rows of docs with their columns (or those in `keep`) and their evidence, written in one pass over the texts.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, training: Column | None = None, key: Column | None = None) -> tuple[ToxicityModel, DataFrame | None]:
+    """The model, and every row's key (`_key`, its id unless another is given) with its evidence, written in one pass over the texts.
 
     Labels of rows outside the held-out fold (or where `training` holds, over columns id and toxic) alone are learnt
     from: `sample` ids and `sample` distinct texts at most, picked by hash. They induce words and word beginnings; the
@@ -413,9 +413,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     terms, chosen_families = [t for t in terms if t[:FAMILY] in set(names)], np.cumsum(np.isfinite(cuts)) - 1
     evidence = [([int(chosen_families[f]) for f in fams if np.isfinite(cuts[f])], [c for f, c in zip(fams, counts, strict=True) if np.isfinite(cuts[f])], words, marks) for fams, counts, words, marks in evidence]
     voters = Voters.of(cuts[np.isfinite(cuts)], VOTERS)
-    columns = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns if keep is None else keep)], docs[text_col].cast("string").alias("_text"))
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema.fields[:-1])
-    table = materialize(columns.mapInArrow(_evidence(terms, keep=True), f"{shape}, {EVIDENCE_SCHEMA}"), "evidence")
+    keyed = docs.select((docs[id_col] if key is None else key).alias("_key"), docs[text_col].cast("string").alias("_text"))
+    table = materialize(keyed.mapInArrow(_evidence(terms), f"_key {keyed.schema['_key'].dataType.simpleString()}, {EVIDENCE_SCHEMA}"), "evidence")
     n, both = 0, np.zeros((voters.size, voters.size))
     # a row for each task, of fixed size, summed before the driver sees one
     summed = table.select(*EVIDENCE).mapInArrow(_moments(voters), "n bigint, both array<double>").select("n", F.posexplode("both").alias("at", "x")).groupBy("at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
@@ -448,19 +447,27 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     scored each; extra columns of any name are left out; an empty table gives none. Where no usable label tells
     anything, the score is 0 throughout, with a warning.
     """
-    model, table = fit_toxicity(docs, labels, id_col, text_col, label_col, sample, training, [id_col])
+    model, table = fit_toxicity(docs, labels, id_col, text_col, label_col, sample, training)
     if table is None:
         warnings.warn("no label tells toxic texts from others: all score 0", stacklevel=2)
         return docs.select(docs[id_col].alias("id"), F.lit(0.0).alias("score"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return table.select("_c0", *EVIDENCE).mapInArrow(_scored(model), f"id {kind}, score double")
+    return table.mapInArrow(_scored(model), f"id {kind}, score double")
+
 
+def _kept(model: ToxicityModel, suspect: Bloom, threshold: float):
+    """Of batches whose last columns are the text's hash and the text, the others of the rows that score under the threshold: a row that isn't suspect needs no look."""
 
-def _kept(model: ToxicityModel, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _evidence(model.terms)
         for batch in batches:
-            kept = batch.filter(pa.array(model.scores(batch) < threshold))
-            yield kept.select(kept.schema.names[:-4])
+            keep = ~suspect.test(batch.column(batch.num_columns - 2).to_numpy())
+            doubtful = np.flatnonzero(~keep)
+            if len(doubtful):
+                texts = batch.column(batch.num_columns - 1).take(pa.array(doubtful))
+                found = next(find(iter([pa.RecordBatch.from_arrays([pa.array(doubtful), texts], ["at", "text"])])))
+                keep[doubtful] = model.scores(found) < threshold
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:-2]], batch.schema.names[:-2])
 
     return run
 
@@ -468,10 +475,17 @@ def _kept(model: ToxicityModel, threshold: float):
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows, with all their columns, that score under the threshold. Rows need no id to be judged.
 
+    One pass over the texts gathers all votes; the hashes of texts that score higher go to a filter of bounded size, so the
+    second pass looks again at these alone, and at the few that the filter can't tell from them.
     Null and empty texts, very long ones, repeated rows and clashing column names: as in toxicity_scores.
     """
-    model, table = fit_toxicity(docs, labels, id_col, text_col)
+    h = F.xxhash64(docs[text_col].cast("string"))
+    model, table = fit_toxicity(docs, labels, id_col, text_col, key=h)
     if table is None:
         return docs
-    kept = table.mapInArrow(_kept(model, threshold), table.select(table.columns[:-4]).schema)
-    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    high = materialize(table.mapInArrow(_scored(model), "id bigint, score double").where(F.col("score") >= threshold).select("id").distinct(), "suspect")
+    suspect = build(high, high.count())
+    discard(table), discard(high)
+    columns = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)], h.alias("_hash"), docs[text_col].cast("string").alias("_text"))
+    shape = columns.select(columns.columns[:-2]).schema
+    return columns.mapInArrow(_kept(model, suspect, threshold), shape).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
