@@ -211,7 +211,7 @@ def graph_neighbours(embeddings: DataFrame, queries: DataFrame | None = None, id
 
     Queries: given rows, or the rows whose id is divisible by `every`. Every row but the query itself is a candidate.
     Equal vectors are one node, which stands for its smallest ids; nodes are dealt by hash to shards, of 65,536 or, in
-    many dimensions, as many as SHARD_BYTES hold. Each gets a graph, written to the shared folder, and a beam
+    many dimensions, as many as SHARD_BYTES hold; smaller tables to as many shards as there are cores. Each gets a graph, written to the shared folder, and a beam
     that is measured on SAMPLE queries against brute force in that shard: data in clusters need narrow ones, data that lie
     in all directions alike wide ones. Each block of QUERY_BLOCK queries visits each shard.
     Distances are double precision, on the original vectors; ties go to the smaller id. Fewer than k candidates:
@@ -228,7 +228,9 @@ def graph_neighbours(embeddings: DataFrame, queries: DataFrame | None = None, id
     members = materialize(thin.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.element_at("ids", 1)), "members")
     n = members.count()
     dimension = members.select(F.size("vec")).first()[0] if n else 1
-    shards = max(1, -(-n // max(LEAST_SHARD, min(MOST_SHARD, SHARD_BYTES // (4 * dimension)))))
+    most = max(LEAST_SHARD, min(MOST_SHARD, SHARD_BYTES // (4 * dimension)))
+    # no fewer than cores, as long as shards stay large enough for a graph to pay
+    shards = max(1, -(-n // most), min(spark.sparkContext.defaultParallelism, n // min(most, 2 * LEAST_SHARD)))
     dealt = members.select((F.pmod(F.xxhash64("id", F.lit(17)), F.lit(shards))).cast("int").alias("shard"), "id", "vec")
     if queries is None:
         asked = good.where(F.col("id") % every == 0)
