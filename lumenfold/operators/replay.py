@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import mmap
+import os
+import tempfile
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,7 +209,7 @@ def draws_of(n: int, block: int | None) -> int:
     return -(-n // block) if n >= block else 1
 
 
-#: Records of a bootstrap's pool: the driver and every worker hold it whole.
+#: Records of a pool that the driver holds whole.
 MOST_POOL = 2_000_000
 
 
@@ -215,42 +221,96 @@ def bounded_pool(records: DataFrame, most: int = MOST_POOL) -> pd.DataFrame:
     return pool
 
 
-def bootstrap(spark, pool: pd.DataFrame, sizing: Sizing, runs: int, start: float = 1000.0, block: int | None = None, seed: int = 0, most: float | None = None) -> DataFrame:
+def places(n: int, rng: SplitMix64, block: int | None, low: int, high: int) -> np.ndarray:
+    """resampled(n, rng, block)[low:high] without the rest of it: each number of the stream can be told from its place."""
+    t = np.arange(low, high, dtype=np.uint64)
+    if block is not None and n < block:
+        return t
+    z = np.uint64(rng.state) + ((t if block is None else t // np.uint64(block)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z % np.uint64(n) if block is None else z % np.uint64(n // block) * np.uint64(block) + t % np.uint64(block)
+
+
+def _one_run(data: np.ndarray, s: Sizing, rng: SplitMix64, start: float, block: int | None, most: float | None) -> tuple[float, float]:
+    """(final bankroll, deepest drawdown); draws are looked up as far as the run comes."""
+    n, at, size = len(data), 0, 1 << 10
+    bank = peak = start
+    deepest = 0.0
+    while at < n:
+        got = data[places(n, rng, block, at, min(n, at + size))]
+        p, hint = (got[c].tolist() if c in data.dtype.names else repeat(None) for c in ("p", "hint"))
+        for odds, o, chance, wish in zip(got["odds"].tolist(), got["outcome"].tolist(), p, hint, strict=False):
+            if not odds > 1.0:
+                continue
+            stake, why = stake_of(s, chance, odds, wish, start, bank)
+            if why:
+                continue
+            stake = min(stake, bank) if most is None else min(stake, most, bank)
+            bank += stake * (odds - 1.0) if o == 1 else -stake if o == 2 else 0.0
+            peak = max(peak, bank)
+            if peak > EPS:
+                deepest = max(deepest, (peak - bank) / peak)
+            if bank <= EPS:
+                return max(bank, 0.0), deepest
+        at += size
+        size = min(2 * size, 1 << 16)
+    return bank, deepest
+
+
+#: Records of a pool that travel as one value.
+_PACK = 128
+
+
+def bootstrap(spark, pool: DataFrame | pd.DataFrame, sizing: Sizing, runs: int, start: float = 1000.0, block: int | None = None, seed: int = 0, most: float | None = None, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """(run, final_bank, roi, max_drawdown) of resampled sequential replays, run by run in parallel, each from its place in one shared stream.
 
-    pool: the ordered records, a table of driver size that every run reads whole.
+    pool: records of any number in the order of some columns, or a table of driver size as it is ordered. What the sizing
+    reads of them is sorted and packed by the executors and goes to each task as a file of its own, mapped and not held:
+    runs draw from all of it, memory doesn't grow with it, and nothing of it passes through the driver.
     """
-    n, given = len(pool), asdict(sizing)
-    shared = spark.sparkContext.broadcast({c: pool[c].tolist() for c in ("p", "odds", "outcome", "hint")})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, data = Sizing(**given), shared.value
+    if block is not None and block < 1:
+        raise ValueError("a block has one record at least")
+    if isinstance(pool, pd.DataFrame):
+        pool, order = pool[["p", "odds", "outcome", "hint"]].astype({"p": float, "odds": float, "hint": float}), ("id",)
+        pool = spark.createDataFrame(pool.assign(id=np.arange(len(pool))), "p double, odds double, outcome string, hint double, id bigint")
+    given, tasks = asdict(sizing), max(1, min(runs, spark.sparkContext.defaultParallelism))
+    kind = [("odds", "<f8"), ("outcome", "i1"), *([("p", "<f8")] if sizing.kind == "kelly" else []), *([("hint", "<f8")] if sizing.kind == "from_column" else [])]
+    code = F.when(F.col("outcome") == "win", 1).when(F.col("outcome") == "loss", 2).otherwise(0).cast("byte").alias("outcome")
+    ordered = pool.orderBy(*order).select(*[code if c == "outcome" else F.col(c).cast("double").alias(c) for c, _ in kind])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k, step = TaskContext.get().partitionId(), 0, _PACK * np.dtype(kind).itemsize
         for b in batches:
-            rows = []
-            for r in b["id"]:
-                rng = SplitMix64(seed).skip(int(r) * draws_of(n, block))
-                bank = peak = start
-                deepest = 0.0
-                for i in resampled(n, rng, block) if n else []:
-                    odds = data["odds"][i]
-                    if odds is None or not odds > 1.0:
-                        continue
-                    stake, why = stake_of(s, data["p"][i], odds, data["hint"][i], start, bank)
-                    if why:
-                        continue
-                    stake = min(stake, bank) if most is None else min(stake, most, bank)
-                    o = data["outcome"][i]
-                    bank += stake * (odds - 1.0) if o == "win" else -stake if o == "loss" else 0.0
-                    peak = max(peak, bank)
-                    if peak > EPS:
-                        deepest = max(deepest, (peak - bank) / peak)
-                    if bank <= EPS:
-                        bank = max(bank, 0.0)
-                        break
-                rows.append((int(r), bank, (bank - start) / start if abs(start) >= EPS else 0.0, deepest if deepest >= 1e-12 else 0.0))
-            yield pd.DataFrame(rows, columns=["run", "final_bank", "roi", "max_drawdown"])
-
-    return spark.range(runs).mapInPandas(run, "run bigint, final_bank double, roi double, max_drawdown double")
+            got = np.empty(b.num_rows, kind)
+            for c, _ in kind:
+                got[c] = b.column(c).to_numpy(zero_copy_only=False)  # a null number is NaN
+            raw = got.tobytes()
+            data = [raw[i : i + step] for i in range(0, len(raw), step)]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(data), pa.int32()), pa.array(range(k, k + len(data)), pa.int64()), pa.array(data, pa.binary())], ["part", "at", "data"])
+            k += len(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, mine, rows = Sizing(**given), [], []
+        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        with tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None) as file:
+            for b in batches:
+                mine += [k for k, x in zip(b.column("task").to_pylist(), b.column("part").to_pylist(), strict=True) if x < 0]
+                for x in b.column("data"):
+                    file.write(x.as_py() or b"")
+            file.flush()
+            n = file.tell() // np.dtype(kind).itemsize
+            data = np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), kind) if n else np.empty(0, kind)
+            for r in (r for k in mine for r in range(k, runs, tasks)):
+                bank, deepest = _one_run(data, s, SplitMix64(seed).skip(r * draws_of(n, block)), start, block, most)
+                rows.append((r, bank, (bank - start) / start if abs(start) >= EPS else 0.0, deepest if deepest >= 1e-12 else 0.0))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.float64()] * 3], strict=True)], ["run", "final_bank", "roi", "max_drawdown"])
+
+    packed = ordered.mapInArrow(pack, "part int, at bigint, data binary").withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    heads = spark.range(tasks).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("at"), F.lit(None).cast("binary").alias("data"), F.col("id").cast("int").alias("task"))  # a task has runs where the pool is empty, too
+    return heads.unionByName(packed).repartitionById(tasks, F.col("task")).sortWithinPartitions("part", "at").mapInArrow(run, "run bigint, final_bank double, roi double, max_drawdown double")
 
 
 def bands(runs: DataFrame, start: float = 1000.0) -> DataFrame:

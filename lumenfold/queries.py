@@ -747,9 +747,9 @@ def column_odds(spark, sf_dir):
 
 @query("X09_bootstrap")
 def bootstrap(spark, sf_dir):
-    """The pool is every record of the table that is no void, a bounded one: bootstrap() refuses more than the driver holds."""
-    pool = _records(spark, sf_dir).where("outcome <> 'void'").select("ts", "id", "p", "odds", "outcome", "hint").orderBy("ts", "id")
-    return R.bands(R.bootstrap(spark, R.bounded_pool(pool), R.parse_sizing("flat:pct=0.01"), 200, 1000.0, seed=7), 1000.0)
+    """The pool is every record of the table that is no void, in order of time and id."""
+    pool = _records(spark, sf_dir).where("outcome <> 'void'").select("ts", "id", "p", "odds", "outcome", "hint")
+    return R.bands(R.bootstrap(spark, pool, R.parse_sizing("flat:pct=0.01"), 200, 1000.0, seed=7), 1000.0)
 
 
 @query("X11_trace", f"""WITH {LEAF_SQL}, c AS (SELECT * FROM calc WHERE scenario = 'N' AND market = 'NATION_8' AND month = (SELECT min(month) FROM calc WHERE scenario = 'N' AND market = 'NATION_8'))
