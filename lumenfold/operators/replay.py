@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import mmap
 import os
+import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
-from itertools import repeat
+from itertools import batched, chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -78,44 +79,78 @@ def stake_of(s: Sizing, p: float, odds: float, hint: float | None, start: float,
     return min(pct * basis, basis), ""
 
 
-def _path(rows: pd.DataFrame, s: Sizing, start: float, batch: bool, most: float | None) -> list[tuple]:
-    """(position, batch, stake, pnl, bank, skipped) of every record, in order."""
-    bank, out, i, number = start, [], 0, 0
-    ts, outcome, odds, p, hint = (rows[c].to_numpy() for c in ("ts", "outcome", "odds", "p", "hint"))
-    n = len(rows)
-    while i < n:
-        j = i + 1
-        while batch and j < n and ts[j] == ts[i]:
-            j += 1
-        basis, placed = bank, []
-        for k in range(i, j):
-            if outcome[k] == "void":
-                out.append((k, number, 0.0, 0.0, bank, "void"))
-                continue
-            if odds[k] is None or not odds[k] > 1.0:
-                out.append((k, number, 0.0, 0.0, bank, "unusable_odds"))
-                continue
-            stake, why = stake_of(s, p[k], odds[k], hint[k], start, basis)
-            if why:
-                out.append((k, number, 0.0, 0.0, bank, why))
-            else:
-                placed.append([k, min(stake, most) if most is not None else stake])
-        total = sum(x[1] for x in placed)
-        if total > basis and total > EPS:
-            for x in placed:
-                x[1] *= basis / total
-        done = []
-        for k, stake in placed:
-            pnl = stake * (odds[k] - 1.0) if outcome[k] == "win" else -stake if outcome[k] == "loss" else 0.0
-            bank += pnl
-            done.append((k, stake, pnl))
-        out += [(k, number, stake, pnl, bank, "") for k, stake, pnl in done]
-        number += 1
-        i = j
-        if bank <= EPS:
-            out += [(k, number, 0.0, 0.0, max(bank, 0.0), "ruin_skipped") for k in range(i, n)]
-            break
-    return out
+def scratch_file():
+    """A file without a name on a disk that Spark has for this task."""
+    folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
+
+
+class _Placed:
+    """What an open batch has placed, in order; every `most` rows go to a file."""
+
+    def __init__(self, most: int):
+        self.rows, self.file, self.most = [], None, most
+
+    def append(self, row: tuple) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= self.most:
+            self.file = self.file or scratch_file()
+            pickle.dump(self.rows, self.file)
+            self.rows = []
+
+    def __iter__(self) -> Iterator[tuple]:
+        if self.file:
+            end = self.file.seek(0, os.SEEK_END)
+            self.file.seek(0)
+            while self.file.tell() < end:
+                yield from pickle.load(self.file)
+        yield from self.rows
+
+
+def _pnl(outcome: str | None, stake: float, odds: float) -> float:
+    return stake * (odds - 1.0) if outcome == "win" else -stake if outcome == "loss" else 0.0
+
+
+def _curve(rows: Iterable[tuple], s: Sizing, start: float, batch: bool, most: float | None, held: int = 50_000) -> Iterator[tuple]:
+    """(path, id, ts, seq, batch, stake, pnl, bank, outcome, skipped) of records (path, id, ts, p, odds, outcome, hint) in order of path, ts and id.
+
+    Of a batch the placed records come last, since they carry the bankroll after it: they alone wait for its end, and
+    beyond `held` of them in a file. A record without a time is a batch of its own.
+    """
+    none = now = object()
+    then, bank, total, number, seq, ruined, placed = None, start, 0.0, 0, 0, False, _Placed(held)
+    for path, k, ts, p, odds, outcome, hint in chain(rows, [(none, *[None] * 6)]):
+        if not batch or ts is None or ts != then or path != now:
+            if now is not none and not ruined:
+                scale = bank / total if total > bank and total > EPS else 1.0
+                for _, _, stake, price, o in placed:
+                    bank += _pnl(o, stake * scale, price)
+                for i, at, stake, price, o in placed:
+                    yield now, i, at, seq, number, stake * scale, _pnl(o, stake * scale, price), bank, o, ""
+                    seq += 1
+                number += 1
+                ruined = bank <= EPS
+                placed = _Placed(held)
+            if path is none:
+                return
+            if path != now:
+                now, bank, number, seq, ruined = path, start, 0, 0, False
+            then, total = ts, 0.0
+        if ruined:
+            why = "ruin_skipped"
+        elif outcome == "void":
+            why = "void"
+        elif not odds > 1.0:
+            why = "unusable_odds"
+        else:
+            stake, why = stake_of(s, p, odds, hint, start, bank)
+        if why:
+            yield now, k, ts, seq, number, 0.0, 0.0, max(bank, 0.0) if ruined else bank, outcome, why
+            seq += 1
+        else:
+            stake = min(stake, most) if most is not None else stake
+            total += stake
+            placed.append((k, ts, stake, odds, outcome))
 
 
 def normalized_outcome(c: Column) -> Column:
@@ -127,20 +162,25 @@ def normalized_outcome(c: Column) -> Column:
 def replay(records: DataFrame, sizing: Sizing, start: float = 1000.0, batch: bool = True, most: float | None = None, path: str = "path") -> DataFrame:
     """The curve of each path: records (path, id, ts, p, odds, outcome, hint), in order of ts and id, with stake, pnl and bankroll after.
 
-    A stake depends on all earlier outcomes, so a path is one task's work and paths run side by side. In batch mode
-    records of one timestamp are sized on the bankroll before them, and scaled down if they exceed it.
+    A stake depends on all earlier outcomes, so a path is one task's work and paths run side by side. Its records are
+    sorted by Spark and pass through Python in pieces: memory doesn't grow with a path. In batch mode records of one
+    timestamp are sized on the bankroll before them, and scaled down if they exceed it.
     """
-    schema = f"{path} string, id bigint, ts timestamp, seq int, batch int, stake double, pnl double, bank double, outcome string, skipped string"
+    fields = [("path", pa.string()), ("id", pa.int64()), ("ts", pa.int64()), ("seq", pa.int32()), ("batch", pa.int32()), ("stake", pa.float64()), ("pnl", pa.float64()), ("bank", pa.float64()), ("outcome", pa.string()), ("skipped", pa.string())]
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*[b.column(c).to_numpy(zero_copy_only=False).tolist() if c in ("p", "odds", "hint") else b.column(c).to_pylist() for c in ("path", "id", "ts", "p", "odds", "outcome", "hint")], strict=True)  # a null number is NaN
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
-        rows = rows.astype({"odds": float, "p": float, "hint": float})
-        got = _path(rows, sizing, start, batch, most)
-        got = pd.DataFrame(got, columns=["k", "batch", "stake", "pnl", "bank", "skipped"])
-        at = got["k"].to_numpy()
-        return pd.DataFrame({path: key[0], "id": rows["id"].to_numpy()[at], "ts": rows["ts"].to_numpy()[at], "seq": np.arange(len(got)), "batch": got["batch"], "stake": got["stake"], "pnl": got["pnl"], "bank": got["bank"], "outcome": rows["outcome"].to_numpy()[at], "skipped": got["skipped"]})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batched(_curve(read(batches), sizing, start, batch, most), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [c for c, _ in fields])
 
-    return records.select(path, "id", "ts", "p", "odds", "outcome", "hint").groupBy(path).applyInPandas(run, schema)
+    numbers = [F.col(c).cast("double").alias(c) for c in ("p", "odds", "hint")]
+    given = records.select(F.col(path).cast("string").alias("path"), F.col("id").cast("long").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), *numbers, F.col("outcome").cast("string").alias("outcome"))
+    ordered = given.repartition("path").sortWithinPartitions("path", F.asc_nulls_last("ts"), F.asc_nulls_last("id"))
+    curve = ordered.mapInArrow(run, "path string, id bigint, ts bigint, seq int, batch int, stake double, pnl double, bank double, outcome string, skipped string")
+    return curve.withColumn("ts", F.timestamp_micros("ts")).withColumnRenamed("path", path)
 
 
 def with_drawdown(curve: DataFrame, start: float = 1000.0, path: str = "path") -> DataFrame:
@@ -293,8 +333,7 @@ def bootstrap(spark, pool: DataFrame | pd.DataFrame, sizing: Sizing, runs: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, mine, rows = Sizing(**given), [], []
-        folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
-        with tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None) as file:
+        with scratch_file() as file:
             for b in batches:
                 mine += [k for k, x in zip(b.column("task").to_pylist(), b.column("part").to_pylist(), strict=True) if x < 0]
                 for x in b.column("data"):

@@ -1,6 +1,8 @@
 """Bootstraps and replays whose records are held by no process whole."""
 
 import random
+import tracemalloc
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from lumenfold.operators import replay as R
 from lumenfold.queries import QUERIES
+from tests.test_records import plain_replay
 
 
 def plain_bootstrap(pool, sizing, runs, start, block, seed, most=None):
@@ -65,3 +68,55 @@ def test_bootstrap_of_an_empty_pool(spark):
     pool = pd.DataFrame({"p": [], "odds": [], "outcome": [], "hint": []})
     got = R.bootstrap(spark, pool, R.parse_sizing("flat:pct=0.1"), 3, 50.0).collect()
     assert sorted(tuple(r) for r in got) == [(k, 50.0, 0.0, 0.0) for k in range(3)]
+
+
+RECORDS = "path string, id long, ts timestamp, p double, odds double, outcome string, hint double"
+
+
+@pytest.mark.parametrize("name", ["W18_kelly_batches", "W17_W18_X07_X08_flat_replay", "X10_fixed_odds_replay"])
+def test_replay_queries_hand_python_no_whole_path(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsIn" not in plan
+
+
+@pytest.mark.parametrize("batch", [True, False])
+def test_a_replay_keeps_no_path_in_memory(batch):
+    def peak(n):
+        rows = (("a", i, 7 if i < n // 2 else i, 0.55, 2.0, ("win", "loss")[i % 2], None) for i in range(n))
+        tracemalloc.start()
+        count = sum(1 for _ in R._curve(rows, R.parse_sizing("quarter_kelly:cap=0.02"), 1000.0, batch, None, 500))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count == n
+        return most
+
+    assert peak(40_000) < 1.5 * peak(4_000)
+
+
+@pytest.mark.parametrize("held", [1, 3, 10_000])
+def test_batches_in_files_are_the_same(held):
+    rng = random.Random(held)
+    rows = [("p", i, i // 40, rng.uniform(0.4, 0.7), rng.choice([0.9, 1.5, 2.5]), rng.choice(["win", "loss", "push", "void"]), None) for i in range(400)]
+    got = [(r[1], r[5], r[7]) for r in R._curve(iter(rows), R.parse_sizing("flat_current:pct=0.2"), 1000.0, True, None, held) if not r[9]]
+    want = plain_replay([r[1:] for r in rows], R.parse_sizing("flat_current:pct=0.2"), 1000.0)
+    assert [g[0] for g in got] == [w[0] for w in want] and len(got) > 10
+    assert all(g[1:] == pytest.approx(tuple(w[1:])) for g, w in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("sizing", ["quarter_kelly:cap=0.1", "flat:pct=0.4"])
+def test_paths_in_small_pieces_equal_a_plain_replay(spark, sizing):
+    rng = random.Random(sizing)
+    paths = {path: [(i, datetime(2026, 1, 1) + timedelta(hours=rng.randrange(20)), rng.uniform(0.4, 0.7), rng.choice([None, 1.4, 2.0]), rng.choice(["win", "loss", "push", "void"]), None) for i in range(90)] for path in ("a", "b", None)}
+    rows = [(path, *r) for path, own in paths.items() for r in own]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        curve = R.replay(spark.createDataFrame(rows, RECORDS), R.parse_sizing(sizing), 1000.0).orderBy("path", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for path, own in paths.items():
+        mine = [r for r in curve if r["path"] == path]
+        assert [r["seq"] for r in mine] == list(range(90)) and {(r["id"], r["ts"]) for r in mine} == {r[:2] for r in own}
+        want = plain_replay(own, R.parse_sizing(sizing), 1000.0)
+        got = [(r["id"], r["stake"], r["bank"]) for r in mine if r["skipped"] == ""]
+        assert [g[0] for g in got] == [w[0] for w in want] and all(g[1:] == pytest.approx(tuple(w[1:]), abs=1e-9) for g, w in zip(got, want, strict=True))
