@@ -73,7 +73,7 @@ def test_bootstrap_of_an_empty_pool(spark):
 RECORDS = "path string, id long, ts timestamp, p double, odds double, outcome string, hint double"
 
 
-@pytest.mark.parametrize("name", ["W18_kelly_batches", "W17_W18_X07_X08_flat_replay", "X10_fixed_odds_replay"])
+@pytest.mark.parametrize("name", ["W18_kelly_batches", "W17_W18_X07_X08_flat_replay", "X10_fixed_odds_replay", "X10_column_odds"])
 def test_replay_queries_hand_python_no_whole_path(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsIn" not in plan
