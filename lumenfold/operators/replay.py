@@ -117,40 +117,50 @@ def _curve(rows: Iterable[tuple], s: Sizing, start: float, batch: bool, most: fl
     Of a batch the placed records come last, since they carry the bankroll after it: they alone wait for its end, and
     beyond `held` of them in a file. A record without a time is a batch of its own.
     """
-    none = now = object()
-    then, bank, total, number, seq, ruined, placed = None, start, 0.0, 0, 0, False, _Placed(held)
+    none, now = object(), object()
+    then, bank, total, number, seq, ruined, placed = None, start, 0.0, 0, 0, False, None  # placed: of the open batch
     for path, k, ts, p, odds, outcome, hint in chain(rows, [(none, *[None] * 6)]):
-        if not batch or ts is None or ts != then or path != now:
-            if now is not none and not ruined:
-                scale = bank / total if total > bank and total > EPS else 1.0
-                for _, _, stake, price, o in placed:
-                    bank += _pnl(o, stake * scale, price)
-                for i, at, stake, price, o in placed:
-                    yield now, i, at, seq, number, stake * scale, _pnl(o, stake * scale, price), bank, o, ""
-                    seq += 1
-                number += 1
-                ruined = bank <= EPS
-                placed = _Placed(held)
+        alone = not batch or ts is None
+        if placed is not None and (alone or ts != then or path != now):
+            scale = bank / total if total > bank and total > EPS else 1.0
+            for _, _, stake, price, o in placed:
+                bank += _pnl(o, stake * scale, price)
+            for i, at, stake, price, o in placed:
+                yield now, i, at, seq, number, stake * scale, _pnl(o, stake * scale, price), bank, o, ""
+                seq += 1
+            number, ruined, placed = number + 1, bank <= EPS, None
+        if path != now:
             if path is none:
                 return
-            if path != now:
-                now, bank, number, seq, ruined = path, start, 0, 0, False
-            then, total = ts, 0.0
+            now, bank, number, seq, ruined = path, start, 0, 0, False
         if ruined:
-            why = "ruin_skipped"
-        elif outcome == "void":
+            yield now, k, ts, seq, number, 0.0, 0.0, max(bank, 0.0), outcome, "ruin_skipped"
+            seq += 1
+            continue
+        if not alone and placed is None:
+            then, total, placed = ts, 0.0, _Placed(held)
+        if outcome == "void":
             why = "void"
         elif not odds > 1.0:
             why = "unusable_odds"
         else:
             stake, why = stake_of(s, p, odds, hint, start, bank)
         if why:
-            yield now, k, ts, seq, number, 0.0, 0.0, max(bank, 0.0) if ruined else bank, outcome, why
+            yield now, k, ts, seq, number, 0.0, 0.0, bank, outcome, why
             seq += 1
         else:
             stake = min(stake, most) if most is not None else stake
-            total += stake
-            placed.append((k, ts, stake, odds, outcome))
+            if alone:
+                stake *= bank / stake if stake > bank and stake > EPS else 1.0
+                won = _pnl(outcome, stake, odds)
+                bank += won
+                yield now, k, ts, seq, number, stake, won, bank, outcome, ""
+                seq += 1
+            else:
+                total += stake
+                placed.append((k, ts, stake, odds, outcome))
+        if alone:
+            number, ruined = number + 1, bank <= EPS
 
 
 def normalized_outcome(c: Column) -> Column:
@@ -168,9 +178,14 @@ def replay(records: DataFrame, sizing: Sizing, start: float = 1000.0, batch: boo
     """
     fields = [("path", pa.string()), ("id", pa.int64()), ("ts", pa.int64()), ("seq", pa.int32()), ("batch", pa.int32()), ("stake", pa.float64()), ("pnl", pa.float64()), ("bank", pa.float64()), ("outcome", pa.string()), ("skipped", pa.string())]
 
+    def values(c: pa.Array) -> list:
+        if pa.types.is_integer(c.type) and c.null_count:
+            return c.to_pylist()
+        return c.to_numpy(zero_copy_only=False).tolist()  # a null number is NaN
+
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            yield from zip(*[b.column(c).to_numpy(zero_copy_only=False).tolist() if c in ("p", "odds", "hint") else b.column(c).to_pylist() for c in ("path", "id", "ts", "p", "odds", "outcome", "hint")], strict=True)  # a null number is NaN
+            yield from zip(*[values(b.column(c)) for c in ("path", "id", "ts", "p", "odds", "outcome", "hint")], strict=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batched(_curve(read(batches), sizing, start, batch, most), 10_000):

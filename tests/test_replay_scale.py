@@ -5,6 +5,7 @@ import tracemalloc
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 
@@ -120,3 +121,98 @@ def test_paths_in_small_pieces_equal_a_plain_replay(spark, sizing):
         want = plain_replay(own, R.parse_sizing(sizing), 1000.0)
         got = [(r["id"], r["stake"], r["bank"]) for r in mine if r["skipped"] == ""]
         assert [g[0] for g in got] == [w[0] for w in want] and all(g[1:] == pytest.approx(tuple(w[1:]), abs=1e-9) for g, w in zip(got, want, strict=True))
+
+
+def step_of(spark, sf_dir, name, monkeypatch):
+    """What a query's replay runs in Python."""
+    kind, found = type(spark.range(1)), []
+    plain = kind.mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(kind, "mapInArrow", lambda self, f, *a, **k: found.append(f) or plain(self, f, *a, **k))
+        QUERIES[name](spark, sf_dir)
+    assert len(found) == 1
+    return found[0]
+
+
+def pieces(n, ids=lambda i: i):
+    """Orders of one path, as Spark hands them to Python."""
+    for at in range(0, n, 500):
+        k = [ids(i) for i in range(at, at + 500)]
+        yield pa.RecordBatch.from_pydict(
+            {"path": ["7"] * 500, "id": k, "ts": [0] * 500, "p": [0.5] * 500, "odds": [None if i % 5 == 0 else 0.9 if i % 3 == 0 else 2.0 for i in range(at, at + 500)], "outcome": ["push"] * 500, "hint": [None] * 500},
+            pa.schema([("path", pa.string()), ("id", pa.int64()), ("ts", pa.int64()), ("p", pa.float64()), ("odds", pa.float64()), ("outcome", pa.string()), ("hint", pa.float64())]),
+        )
+
+
+def test_column_odds_hold_no_path_in_python(spark, sf_dir, monkeypatch):
+    run = step_of(spark, sf_dir, "X10_column_odds", monkeypatch)
+
+    def peak(n):
+        rows = held = 0
+        tracemalloc.start()
+        for b in run(pieces(n)):
+            rows, held = rows + b.num_rows, max(held, pa.total_allocated_bytes())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n
+        return most, held
+
+    peak(20_000)  # what is set up once
+    (small, arrow), (large, more) = peak(20_000), peak(200_000)
+    assert large < 1.3 * small and more < 1.3 * arrow + 1_000_000
+
+
+def test_column_odds_of_large_and_missing_ids(spark, sf_dir, monkeypatch):
+    run = step_of(spark, sf_dir, "X10_column_odds", monkeypatch)
+    far = 2**53 + 1  # no double holds it
+    got = [r for b in run(pieces(12_000, lambda i: None if i % 1000 == 999 else far + 2 * i)) for r in b.to_pylist()]
+    assert [r["id"] for r in got] == [None if i % 1000 == 999 else far + 2 * i for i in range(12_000)]
+    assert [r["skipped"] for r in got] == ["unusable_odds" if i % 5 == 0 or i % 3 == 0 else "" for i in range(12_000)]
+    assert [r["seq"] for r in got] == [r["batch"] for r in got] == list(range(12_000)) and {r["bank"] for r in got} == {1000.0}
+    assert list(run(iter([]))) == []
+
+
+@pytest.mark.parametrize("sizing", ["flat:pct=0.4", "flat_current:pct=0.9,min_odds=1.5", "from_column:hint,cap=0.5"])
+@pytest.mark.parametrize("batch", [True, False])
+def test_records_without_a_time_are_batches_of_their_own(sizing, batch):
+    rng = random.Random(f"{sizing} {batch}")
+    rows = [(path, i, rng.choice([None, i // 9]), 0.5, rng.choice([None, 1.4, 2.5]), rng.choice(["win", "loss", "push", "void", None]), rng.choice([None, 3.0, 900.0])) for path in ("a", None, "b") for i in range(200)]
+    rows = [(path, i, ts, p, odds or float("nan"), o, hint) for path, i, ts, p, odds, o, hint in rows]
+    got, s = list(R._curve(iter(rows), R.parse_sizing(sizing), 100.0, batch, 70.0, 4)), R.parse_sizing(sizing)
+    want, at = [], 0
+    while at < len(rows):
+        path, _, ts, *_ = rows[at]
+        if at == 0 or path != rows[at - 1][0]:
+            bank, number, seq, ruined = 100.0, 0, 0, False
+        end = at + 1
+        while batch and ts is not None and end < len(rows) and rows[end][0] == path and rows[end][2] == ts:
+            end += 1
+        own, at = rows[at:end], end
+        if ruined:
+            want += [(path, r[1], r[2], seq + k, number, 0.0, 0.0, max(bank, 0.0), r[5], "ruin_skipped") for k, r in enumerate(own)]
+            seq += len(own)
+            continue
+        sized = [(r, *((0.0, "void") if r[5] == "void" else R.stake_of(s, r[3], r[4], r[6], 100.0, bank) if r[4] > 1 else (0.0, "unusable_odds"))) for r in own]
+        for r, _, why in [x for x in sized if x[2]]:
+            want.append((path, r[1], r[2], seq, number, 0.0, 0.0, bank, r[5], why))
+            seq += 1
+        bets = [(r, min(stake, 70.0)) for r, stake, why in sized if not why]
+        total = sum(stake for _, stake in bets)
+        bets = [(r, stake * (bank / total if total > bank else 1.0)) for r, stake in bets]
+        won = [stake * (r[4] - 1) if r[5] == "win" else -stake if r[5] == "loss" else 0.0 for r, stake in bets]
+        for w in won:
+            bank += w
+        for (r, stake), w in zip(bets, won, strict=True):
+            want.append((path, r[1], r[2], seq, number, stake, w, bank, r[5], ""))
+            seq += 1
+        number, ruined = number + 1, bank <= 1e-12
+    assert got == want and {"", "void", "unusable_odds"} <= {r[9] for r in got}
+
+
+def test_a_record_that_is_its_own_batch_waits_for_nothing(monkeypatch):
+    monkeypatch.setattr(R, "_Placed", None)
+    read = []
+    rows = (read.append(i) or ("a", i, 5, 0.5, 2.0, ("win", "loss")[i % 2], None) for i in range(20))
+    for k, row in enumerate(R._curve(rows, R.parse_sizing("flat:pct=0.01"), 1000.0, False, None)):
+        assert row[1] == k and read == list(range(k + 1))
+    assert len(read) == 20
